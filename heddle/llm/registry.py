@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heddle.llm import chat_format, language_id, lm_scoring, simhash, token_counts
+from heddle.llm import chat_format, language_id, lm_scoring, quality, simhash, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -83,3 +83,50 @@ SELECT conv_id, count(*) AS n_turns,
         + len(regexp_extract_all(plain, '</?s>|\[ROLE\]|\[TEXT\]|<unk>|<pad>|\[/?INST\]|<</?SYS>>'))) AS BIGINT) AS formatted_chars
 FROM escaped GROUP BY conv_id
 """
+
+
+@query
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"))
+
+
+ORACLE_SQL["op7_quality_rules"] = r"""
+WITH d AS (
+    SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text,
+        regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+        string_split(coalesce(text, ''), chr(10)) AS l
+    FROM documents
+), windows AS (
+    SELECT rid, i, concat_ws(' ', w[i], w[i + 1], w[i + 2]) AS s FROM d, unnest(range(1, len(w) - 1)) AS t(i)
+), repeated AS (
+    SELECT rid, i FROM windows QUALIFY count(*) OVER (PARTITION BY rid, s) > 1
+), covered AS (
+    SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest([i, i + 1, i + 2]) AS p FROM repeated) GROUP BY rid
+), lines AS (
+    SELECT rid, unnest(l) AS x FROM d
+), judged AS (
+    SELECT rid, x, length(x) - length(replace(x, ' ', '')) AS gaps,
+        length(x) - length(translate(x, '|»›•·', '')) AS bars,
+        length(x) - length(translate(x, '#*$%&|<>', '')) AS symbols,
+        length(regexp_replace(x, '[\x20\x09-\x0D]+', '', 'g')) AS solid,
+        length(x) - length(regexp_replace(x, '\p{Lu}', '', 'g')) AS capitals
+    FROM lines WHERE regexp_matches(x, '[^\x20\x09-\x0D]')
+), passed AS (
+    SELECT rid, count(*) - count(DISTINCT x) AS n_dup_lines,
+        sum(CASE WHEN (bars >= 3 AND bars * 4 > gaps) OR symbols * 2 > gaps + 1 OR (solid >= 20 AND capitals * 2 > solid)
+            OR (gaps < 3 AND NOT regexp_matches(x, '[.!?…:;"''”’»)\]][\x20\x09-\x0D]*\z'))
+            OR regexp_matches(x, '(?i)enable javascript|javascript is (?:disabled|required)|uses cookies|cookie policy|privacy policy|terms of (?:use|service)|all rights reserved|lorem ipsum|click here|subscribe to our newsletter')
+            THEN 0 ELSE solid END) AS kept_chars
+    FROM judged GROUP BY rid
+), counts AS (
+    SELECT doc_id, len(w) AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars,
+        length(text) - length(translate(text, '#*$%&|<>', '')) AS n_symbols,
+        coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(covered.n, 0) AS n_repeat_words, coalesce(kept_chars, 0) AS kept_chars
+    FROM d LEFT JOIN passed USING (rid) LEFT JOIN covered USING (rid)
+)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
+    CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, CAST(kept_chars AS BIGINT) AS kept_chars,
+    n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+    NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 100 * kept_chars >= 60 * word_chars AS kept
+FROM counts
+"""
