@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heddle.llm import chat_format, language_id, lm_scoring, quality, simhash, token_counts
+from heddle.llm import chat_format, language_id, lm_scoring, quality, secrets, simhash, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -130,3 +130,12 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS
     NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 100 * kept_chars >= 60 * word_chars AS kept
 FROM counts
 """
+
+
+#: In `documents` a source owns its texts, and its texts in one language are a repository.
+OWNER, REPOSITORY = "source", "concat_ws('/', source, lang)"
+
+
+@query
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"), F.expr(OWNER), F.expr(REPOSITORY))
