@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heddle.llm import chat_format, decontaminate, language_id, lm_scoring, quality, secrets, simhash, token_counts
+from heddle.llm import chat_format, decontaminate, language_id, lm_scoring, mixing, quality, secrets, simhash, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -85,6 +85,16 @@ FROM escaped GROUP BY conv_id
 """
 
 
+#: Domains of the labelled table, and their weights in the mixture.
+DOMAIN = "concat('quality', quality, '_toxic', toxic)"
+TARGETS = {"quality1_toxic0": 0.90, "quality1_toxic1": 0.02, "quality0_toxic0": 0.07, "quality0_toxic1": 0.01}
+
+
+@query
+def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.rates(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), F.expr(DOMAIN), TARGETS)
+
+
 @query
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
