@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heddle.llm import chat_format, decontaminate, language_id, lm_scoring, mixing, quality, secrets, simhash, token_counts
+from heddle.llm import chat_format, decontaminate, language_id, lm_scoring, mixing, quality, secrets, simhash, surrogates, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -154,3 +154,12 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminations(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+#: In production the key comes from a vault; a fixed one keeps these results comparable.
+SURROGATE_KEY = "heddle-demo-key"
+
+
+@query
+def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surrogates.surrogates(table(spark, sf_dir, "documents"), SURROGATE_KEY)
