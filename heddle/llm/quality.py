@@ -108,7 +108,8 @@ def clean(df: DataFrame, text_col: str = "text", chars_col: str | None = "n_char
     """The rows that are kept, without their failing lines; same columns."""
     names = df.columns
     inner = df.select(F.struct(*names).alias("_row"), F.col(text_col).alias("_t"))
-    rows = judged(inner, "_t").where("_ok")
-    text = F.col("_q.kept_text")
+    # the rows pass through a generator, as a filter on them would be pushed down and work all rules out again
+    rows = judged(inner, "_t").select("_row", F.explode(F.array(F.struct(F.col("_ok").alias("ok"), F.col("_q.kept_text").alias("text")))).alias("_v")).where("_v.ok")
+    text = F.col("_v.text")
     new = {text_col: text} | ({chars_col: F.length(text).cast(df.schema[chars_col].dataType)} if chars_col in names else {})
     return rows.select(*(new.get(c, F.col("_row")[c]).alias(c) for c in names))

@@ -53,20 +53,24 @@ def matches(text: Column, pattern: str, keep: Callable[[Column], Column], group:
     ``group``: the value; a match is dropped unless its value passes ``keep``.
     Places follow from the lengths of the matches and of the text between them.
     """
-    whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    value = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else whole
-    between = F.split(text, pattern, -1)
     kind = "struct<at:int,out:array<struct<start:int,end:int,value:string>>>"
+    none = F.struct(F.lit(0).alias("at"), F.array().alias("out")).cast(kind)
 
-    def step(acc: Column, k: Column) -> Column:
-        start = acc["at"] + F.length(F.get(between, k))
-        end = start + F.length(F.get(whole, k))
-        one = F.struct(start.alias("start"), end.alias("end"), F.get(value, k).alias("value"))
-        return F.struct(end.alias("at"), F.when(keep(F.get(value, k)), F.array_append(acc["out"], one)).otherwise(acc["out"]).alias("out"))
+    def places(m: Column) -> Column:
+        def step(acc: Column, k: Column) -> Column:
+            start = acc["at"] + F.length(F.get(m["between"], k))
+            end = start + F.length(F.get(m["whole"], k))
+            value = F.get(m["value"], k)
+            one = F.struct(start.alias("start"), end.alias("end"), value.alias("value"))
+            return F.struct(end.alias("at"), F.when(keep(value), F.array_append(acc["out"], one)).otherwise(acc["out"]).alias("out")).cast(kind)
 
-    none = F.struct(F.lit(0).alias("at"), F.array().alias("out")).cast(kind)
-    folded = F.aggregate(F.sequence(F.lit(0), F.size(whole) - 1), none, lambda a, k: step(a, k).cast(kind))["out"]
-    return F.when(text.rlike(pattern), folded).otherwise(none["out"])
+        return F.aggregate(F.sequence(F.lit(0), F.size(m["whole"]) - 1), none, step)["out"]
+
+    whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    value = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+    found = F.struct(whole.alias("whole"), value.alias("value"), F.split(text, pattern, -1).alias("between"))
+    # the array of one binds what the lambda then reads again and again
+    return F.when(text.rlike(pattern), F.transform(F.array(found), places)[0]).otherwise(none["out"])
 
 
 def candidates(text: Column) -> dict[str, Column]:
@@ -93,15 +97,14 @@ def verdicts(found: DataFrame, example_owners: int) -> DataFrame:
     return owned.groupBy("value").agg(F.count("*").alias("owners"), F.sum("r").alias("repositories")).withColumn("widely", F.col("owners") >= example_owners)
 
 
-def scanned(df: DataFrame, text_col: str, owner: Column, repository: Column, example_owners: int) -> DataFrame:
-    """``df`` with ``found`` and ``live`` (its live members) for rows with candidates; written as a table."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = df.withColumns({"found": _found(text), "owner": owner, "repository": repository}).where(F.size("found") > 0)
+def scanned(rows: DataFrame, example_owners: int) -> DataFrame:
+    """A written table of rows with ``owner``, ``repository`` and ``found``, and with ``live``, the live members of ``found``."""
     rows = materialize(rows.withColumn("row", F.monotonically_increasing_id()), "candidates")
     ask = rows.select("row", F.explode("found").alias("f"))
     told = ask.join(verdicts(rows, example_owners).select(F.col("value").alias("of"), "widely"), F.col("f.value") == F.col("of"))
-    live = told.groupBy("row").agg(F.array_sort(F.collect_list(F.when(~F.col("widely") & ~F.col("f.placeholder"), F.col("f")))).alias("live"))
-    return rows.join(live.withColumnRenamed("row", "_row"), F.col("row") == F.col("_row")).drop("row", "_row")
+    live = told.where(~F.col("widely") & ~F.col("f.placeholder")).groupBy(F.col("row").alias("_of")).agg(F.array_sort(F.collect_list("f")).alias("live"))
+    out = rows.join(live, F.col("row") == F.col("_of"), "left").drop("row", "_of")
+    return out.withColumn("live", F.coalesce("live", F.array().cast(rows.schema["found"].dataType)))
 
 
 def listed(spans: Column) -> Column:
@@ -112,13 +115,12 @@ def listed(spans: Column) -> Column:
 
 def scan(df: DataFrame, owner: Column, repository: Column, id_col: str = "doc_id", text_col: str = "text", example_owners: int = 3) -> DataFrame:
     """Counts, digests and spans for each row, and how many of its candidates are live or examples."""
-    rows = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t"), owner.alias("_o"), repository.alias("_r"))
-    hits = scanned(rows, "_t", F.col("_o"), F.col("_r"), example_owners).select("_id", "found", "live")
-    none = rows.where(~has_candidates(F.coalesce("_t", F.lit("")))).select("_id", *(F.array().cast(hits.schema[c].dataType).alias(c) for c in ("found", "live")))
+    rows = df.select(F.col(id_col).alias("_id"), _found(F.coalesce(F.col(text_col), F.lit(""))).alias("found"), owner.alias("owner"), repository.alias("repository"))
+    hits = scanned(rows, example_owners)
     base = F.filter("found", lambda s: s["kind"] < 3)
     stay = F.array_sort(F.concat(base, F.filter("live", lambda s: s["kind"] >= 3)))
     count = lambda place: F.size(F.filter("found", lambda s: s["kind"] == place)).cast("long")
-    return hits.unionByName(none).select(
+    return hits.select(
         F.col("_id").alias(id_col),
         *(count(k).alias(f"n_{KINDS[k]}") for k in range(3)),
         F.sha2(listed(base).cast("binary"), 256).alias("base_sha256"),
@@ -128,15 +130,12 @@ def scan(df: DataFrame, owner: Column, repository: Column, id_col: str = "doc_id
     )
 
 
-def has_candidates(text: Column) -> Column:
-    return F.size(_found(text)) > 0
-
-
 def redact(df: DataFrame, owner: Column, repository: Column, text_col: str = "text", example_owners: int = 3, mask: str = "[SECRET]", chars_col: str | None = "n_chars") -> DataFrame:
     """All rows, with the live secrets of their texts replaced by ``mask``; same columns."""
     names = df.columns
-    inner = df.select(F.struct(*names).alias("_in"), F.col(text_col).alias("_t"), owner.alias("_o"), repository.alias("_r"))
-    hits = scanned(inner, "_t", F.col("_o"), F.col("_r"), example_owners)
+    some = F.coalesce(F.col(text_col).rlike("|".join(f"(?:{p})" for p in (ASSIGN, ACCESS, HEX, *MORE.values()))), F.lit(False))
+    rows = df.where(some).select(F.struct(*names).alias("_in"), F.col(text_col).alias("_t"), _found(F.col(text_col)).alias("found"), owner.alias("owner"), repository.alias("repository"))
+    hits = scanned(rows, example_owners)
     kind = "struct<at:int,out:string>"
     blank = F.aggregate(
         "live",
@@ -150,4 +149,4 @@ def redact(df: DataFrame, owner: Column, repository: Column, text_col: str = "te
     text = F.when(F.size("live") > 0, blank).otherwise(F.col("_t"))
     new = {text_col: text} | ({chars_col: F.when(F.size("live") > 0, F.length(text).cast(df.schema[chars_col].dataType)).otherwise(F.col("_in")[chars_col])} if chars_col in names else {})
     changed = hits.select(*(new.get(c, F.col("_in")[c]).alias(c) for c in names))
-    return changed.unionByName(df.where(~has_candidates(F.coalesce(text_col, F.lit("")))))
+    return changed.unionByName(df.where(~some))
