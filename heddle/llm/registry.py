@@ -125,7 +125,8 @@ WITH d AS (
     SELECT rid, count(*) - count(DISTINCT x) AS n_dup_lines,
         sum(CASE WHEN (bars >= 3 AND bars * 4 > gaps) OR symbols * 2 > gaps + 1 OR (solid >= 20 AND capitals * 2 > solid)
             OR (gaps < 3 AND NOT regexp_matches(x, '[.!?…:;"''”’»)\]][\x20\x09-\x0D]*\z'))
-            OR regexp_matches(x, '(?i)enable javascript|javascript is (?:disabled|required)|uses cookies|cookie policy|privacy policy|terms of (?:use|service)|all rights reserved|lorem ipsum|click here|subscribe to our newsletter')
+            OR len(list_filter(['enable javascript', 'javascript is disabled', 'javascript is required', 'uses cookies', 'cookie policy', 'privacy policy',
+                'terms of use', 'terms of service', 'all rights reserved', 'lorem ipsum', 'click here', 'subscribe to our newsletter'], lambda b: contains(lower(x), b))) > 0
             THEN 0 ELSE solid END) AS kept_chars
     FROM judged GROUP BY rid
 ), counts AS (

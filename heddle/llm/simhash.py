@@ -204,7 +204,8 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size
     """
     found = materialize(near_duplicates(df, id_col, text_col, size).select(F.col(id_col).alias("the_id"), "component_id"), "components")
     gone = found.where("the_id <> component_id").select("the_id")
-    kept = df.join(gone, F.col(id_col) == F.col("the_id"), "left_anti")
+    # merged at every size: who goes grows with the texts, so it is never broadcast
+    kept = df.join(gone.hint("merge"), F.col(id_col) == F.col("the_id"), "left_anti")
     twice = found.where("the_id = component_id").groupBy("the_id").count().where("count > 1").select("the_id")
     if twice.isEmpty():
         return kept
