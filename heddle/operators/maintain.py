@@ -53,10 +53,10 @@ def replacement_faults(outputs: DataFrame) -> DataFrame:
     return outputs.withColumn("fault", fault).where("fault is not null")
 
 
-def owners(repos: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Each repository's node: the smallest hash of both, so few move when a node leaves.  ``nodes`` is a list of machines."""
-    pairs = repos.select("repo").crossJoin(F.broadcast(nodes.select("node")))
-    return pairs.groupBy("repo").agg(F.min_by("node", F.md5(F.concat_ws("|", "repo", "node").cast("binary"))).alias("node"))
+def owners(repos: DataFrame, nodes: list[str]) -> DataFrame:
+    """Each repository's node: the smallest hash of both, so few move when a node leaves."""
+    ranked = F.transform(F.array(*map(F.lit, nodes)), lambda n: F.struct(F.md5(F.concat_ws("|", "repo", n).cast("binary")).alias("h"), n.alias("node")))
+    return repos.select("repo", F.array_min(ranked)["node"].alias("node"))
 
 
 def pick_runs(sizes: list[int], factor: int = 8, floor: int = 64 * 1024) -> list[tuple[int, int]]:

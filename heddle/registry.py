@@ -4,11 +4,451 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from heddle.functions import scalars
+from heddle.operators import graph, maintain, refs, trees
+from heddle.sources import model
+from heddle.sources.model import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
+#: The derived model in SQL, as common table expressions.
+MODEL = r"""
+WITH RECURSIVE commits AS (SELECT event_id AS id, user_id AS branch, ts, event_type AS kind FROM events),
+edges AS (
+    SELECT id AS child, lag(id) OVER (PARTITION BY branch ORDER BY ts, id) AS parent, 0 AS ord FROM commits QUALIFY parent IS NOT NULL
+    UNION ALL
+    SELECT a.id, arg_max(b.id, b.ts), 1 FROM commits a JOIN commits b ON b.branch = a.branch - 1 AND b.ts < a.ts WHERE a.kind = 'purchase' AND a.id % 10 = 0 GROUP BY 1
+),
+tips AS (SELECT branch, arg_max(id, ts) AS oid FROM commits GROUP BY 1),
+refs AS (
+    SELECT 'refs/heads/u' || branch AS name, oid FROM tips
+    UNION ALL SELECT 'refs/tags/v' || id, id FROM commits WHERE kind = 'signup' AND id % 50 = 0
+),
+files AS (
+    SELECT lang || '/' || source || '/' || doc_id AS path, sha1('blob ' || strlen(text) || chr(0) || text) AS oid, CAST(strlen(text) AS BIGINT) AS size, doc_id FROM documents
+)
+"""
+#: With the closure of some commits: seeds (seed, id) must be defined before.
+CLOSURE = ", reached AS (SELECT seed, id FROM seeds UNION SELECT r.seed, e.parent FROM reached r JOIN edges e ON e.child = r.id)\n"
+
+
+def query(sql: str | None = None):
+    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def the_graph(spark: SparkSession, sf_dir: str) -> graph.Graph:
+    return graph.Graph(model.commits(spark, sf_dir).select("id"), model.edges(spark, sf_dir))
+
+
+def tips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return model.commits(spark, sf_dir).groupBy("branch").agg(F.max_by("id", F.struct("ts", "id")).alias("oid"))
+
+
+@query(MODEL + "SELECT name, oid FROM refs")
+def list_refs(spark, sf_dir):
+    return refs.list_refs(model.refs(spark, sf_dir))
+
+
+@query(MODEL + "SELECT name, oid FROM refs WHERE starts_with(name, 'refs/tags/') OR starts_with(name, 'refs/heads/u1')")
+def list_refs_prefix(spark, sf_dir):
+    return refs.list_refs(model.refs(spark, sf_dir), ["refs/tags/", "refs/heads/u1"])
+
+
+@query(MODEL + "SELECT name, r.oid, ts, kind FROM refs r JOIN commits c ON c.id = r.oid")
+def ref_details(spark, sf_dir):
+    return model.refs(spark, sf_dir).join(model.commits(spark, sf_dir), F.col("oid") == F.col("id")).select("name", "oid", "ts", "kind")
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    return ref_details(spark, sf_dir)
+
+
+@query(MODEL + "SELECT name, oid FROM refs WHERE name NOT IN (SELECT 'refs/heads/u' || branch FROM tips WHERE branch % 3 = 0)")
+def hidden_refs(spark, sf_dir):
+    hidden = tips(spark, sf_dir).where("branch % 3 = 0").select(F.concat(F.lit("refs/heads/u"), "branch").alias("name"))
+    return refs.visible(model.refs(spark, sf_dir), hidden)
+
+
+@query(MODEL + """SELECT name, oid, CASE WHEN name = 'HEAD' THEN 'refs/heads/u1' END AS symref FROM (
+    SELECT 'HEAD' AS name, oid FROM refs WHERE name = 'refs/heads/u1' UNION ALL SELECT name, oid FROM refs)""")
+def ls_refs(spark, sf_dir):
+    r = model.refs(spark, sf_dir)
+    head = r.where("name = 'refs/heads/u1'").select(F.lit("HEAD").alias("name"), "oid", F.lit("refs/heads/u1").alias("symref"))
+    return head.unionByName(r.withColumn("symref", F.lit(None).cast("string")))
+
+
+def repositories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "customer").select(F.regexp_replace("c_name", "#", "-").alias("repo"), (F.col("c_custkey") % 7 == 0).alias("deleted"), F.col("c_custkey").alias("epoch"))
+
+
+@query("""WITH r AS (SELECT replace(c_name, '#', '-') AS repo, c_custkey % 7 = 0 AS deleted, c_custkey AS epoch FROM customer),
+p AS (SELECT *, row_number() OVER (ORDER BY repo) AS place FROM r WHERE starts_with(repo, 'Customer') AND repo > 'Customer-000000050' QUALIFY place <= 101)
+SELECT repo, deleted, epoch, (SELECT max(repo) FROM p WHERE place <= 100 AND (SELECT count(*) FROM p) > 100) AS next_token FROM p WHERE place <= 100 AND NOT deleted""")
+def list_repositories_page(spark, sf_dir):
+    return refs.page(repositories(spark, sf_dir), "repo", "Customer", "Customer-000000050", 0)
+
+
+@query(MODEL + "SELECT path, oid, size FROM files")
+def blob_ids(spark, sf_dir):
+    return model.files(spark, sf_dir).select("path", "oid", "size")
+
+
+@query(MODEL + "SELECT path, f.oid, size FROM files f WHERE oid IN (SELECT oid FROM files WHERE doc_id % 10 = 3)")
+def object_lookup(spark, sf_dir):
+    f = model.files(spark, sf_dir)
+    wanted = f.where("doc_id % 10 = 3").select("oid").distinct()
+    return f.join(wanted, "oid", "left_semi").select("path", "oid", "size")
+
+
+@query(MODEL + "SELECT oid, min(doc_id) AS dense_id, arg_min(path, doc_id) AS path FROM files GROUP BY oid")
+def dedup_oldest(spark, sf_dir):
+    return maintain.oldest_copies(model.files(spark, sf_dir).select("oid", F.col("doc_id").alias("dense_id"), "path"))
+
+
+@query(MODEL + """SELECT oid, min(doc_id) AS dense_id FROM files WHERE doc_id % 2 = 1 AND oid NOT IN (SELECT oid FROM files WHERE doc_id % 2 = 0) GROUP BY oid""")
+def ingest_new_objects(spark, sf_dir):
+    f = model.files(spark, sf_dir).select("oid", F.col("doc_id").alias("dense_id"))
+    return maintain.new_objects(f.where("dense_id % 2 = 1"), f.where("dense_id % 2 = 0"))
+
+
+@query("""SELECT doc_id, CAST(k AS INT) AS chunk, substr(text, CAST(k * 4096 + 1 AS BIGINT), 4096) AS part FROM documents, range(0, 100) AS r(k) WHERE k = 0 OR k * 4096 < length(text)""")
+def object_chunks(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    last = F.greatest(F.lit(0), F.ceil(F.length("text") / 4096).cast("int") - 1)
+    return d.select("doc_id", "text", F.explode(F.sequence(F.lit(0), last)).alias("chunk")).select("doc_id", "chunk", F.substring("text", F.col("chunk") * 4096 + 1, F.lit(4096)).alias("part"))
+
+
+COMMIT_TEXT = "'tree ' || sha1('t' || id) || chr(10) || coalesce('parent ' || sha1('c' || parent) || chr(10), '') || 'author U' || branch || ' <u' || branch || '@example.org> ' || (1700000000 + id) || ' ' || CASE WHEN id % 2 = 0 THEN '+0130' ELSE '-0700' END || chr(10) || 'committer U' || branch || ' <u> ' || chr(10) || chr(10) || kind || ' ' || id || chr(10) || chr(10) || 'Body of ' || id"
+
+
+def commit_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c, e = model.commits(spark, sf_dir), model.edges(spark, sf_dir).where("ord = 0").select(F.col("child").alias("id"), "parent")
+    return c.join(e, "id", "left").select("id", F.expr(COMMIT_TEXT.replace("sha1('t' || id)", "sha1(cast('t' || id as binary))").replace("sha1('c' || parent)", "sha1(cast('c' || parent as binary))")).alias("content"))
+
+
+TEXTS = MODEL + f", texts AS (SELECT id, {COMMIT_TEXT} AS content FROM commits LEFT JOIN (SELECT child AS id, parent FROM edges WHERE ord = 0) USING (id))\n"
+
+
+@query(TEXTS + "SELECT id, sha1('commit ' || strlen(content) || chr(0) || content) AS oid, content FROM texts")
+def canonical_commit_bytes(spark, sf_dir):
+    return commit_texts(spark, sf_dir).select("id", scalars.object_id("commit", F.col("content")).alias("oid"), "content")
+
+
+@query(MODEL + """SELECT id, sha1('t' || id) AS tree, coalesce(sha1('c' || parent), '') AS parents, 'U' || branch AS name, 'u' || branch || '@example.org' AS email,
+    1700000000 + id AS seconds, CASE WHEN id % 2 = 0 THEN 5400 ELSE -25200 END AS offset_seconds, 0 AS committed, kind || ' ' || id AS summary, 'Body of ' || id AS body
+    FROM commits LEFT JOIN (SELECT child AS id, parent FROM edges WHERE ord = 0) USING (id)""")
+def parse_commit(spark, sf_dir):
+    f = commit_texts(spark, sf_dir).select("id", scalars.commit_fields(F.col("content")).alias("c"))
+    return f.select("id", "c.tree", F.array_join("c.parents", ",").alias("parents"), "c.author.name", "c.author.email", "c.author.seconds", "c.author.offset_seconds", F.col("c.committer.seconds").alias("committed"), "c.summary", "c.body")
+
+
+@query("""SELECT o_orderkey, m AS mode, CASE WHEN m = 16384 THEN 'tree' WHEN m = 57344 THEN NULL ELSE 'blob' END AS kind FROM
+    (SELECT o_orderkey, [33188, 33261, 40960, 16384, 57344][CAST(o_orderkey % 5 AS INT) + 1] AS m FROM orders)""")
+def mode_kinds(spark, sf_dir):
+    mode = F.get(F.array(*map(F.lit, [33188, 33261, 40960, 16384, 57344])), (F.col("o_orderkey") % 5).cast("int"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", mode.alias("mode")).withColumn("kind", scalars.mode_kind(F.col("mode")))
+
+
+NAMES = ["refs/heads/ok", "refs/heads", "heads/x", "refs/heads/a..b", "refs/heads/x.lock", "refs/heads/sp ace", "refs/tags/v1@{0}", "refs/heads/.hid", "refs/x/y/z/"]
+
+
+@query("SELECT event_id, name, name IN ('refs/heads/ok') AS ok FROM (SELECT event_id, ['refs/heads/ok','refs/heads','heads/x','refs/heads/a..b','refs/heads/x.lock','refs/heads/sp ace','refs/tags/v1@{0}','refs/heads/.hid','refs/x/y/z/'][CAST(event_id % 9 AS INT) + 1] AS name FROM events)")
+def refname_valid(spark, sf_dir):
+    name = F.get(F.array(*map(F.lit, NAMES)), (F.col("event_id") % 9).cast("int"))
+    return table(spark, sf_dir, "events").select("event_id", name.alias("name")).withColumn("ok", scalars.ref_name_ok(F.col("name")))
+
+
+@query("""SELECT n_name || '/.git' AS path, false AS ok FROM nation UNION ALL SELECT n_name || '/file.txt', true FROM nation UNION ALL SELECT n_name || '//x', false FROM nation""")
+def path_valid(spark, sf_dir):
+    n = table(spark, sf_dir, "nation")
+    paths = [n.select(F.concat("n_name", F.lit(s)).alias("path")) for s in ("/.git", "/file.txt", "//x")]
+    return paths[0].union(paths[1]).union(paths[2]).withColumn("ok", scalars.path_ok(F.col("path")))
+
+
+@query("""SELECT l_orderkey AS source, 'p' || l_partkey AS oid, 'part' AS kind, 'MISSING' AS fault FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_partkey % 5 <> 0)""")
+def connectivity_missing(spark, sf_dir):
+    ref = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("source"), F.concat(F.lit("p"), "l_partkey").alias("oid"), F.lit("part").alias("kind"))
+    have = table(spark, sf_dir, "part").where("p_partkey % 5 <> 0").select(F.concat(F.lit("p"), "p_partkey").alias("oid"), F.lit("part").alias("kind"))
+    return maintain.missing(ref, have)
+
+
+@query("""SELECT oid, count(DISTINCT kind) AS kinds FROM (SELECT l_partkey AS oid, CASE WHEN l_linenumber = 7 THEN 'tree' ELSE 'blob' END AS kind FROM lineitem) GROUP BY oid HAVING count(DISTINCT kind) > 1""")
+def kind_conflicts(spark, sf_dir):
+    return maintain.kind_conflicts(table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("oid"), F.when(F.col("l_linenumber") == 7, "tree").otherwise("blob").alias("kind")))
+
+
+LEVELS = """SELECT r_name AS path, 'tree' AS kind, 'r' || r_regionkey AS oid, 1 AS depth FROM region
+UNION ALL SELECT r_name || '/' || n_name, 'tree', 'n' || n_nationkey, 2 FROM region JOIN nation ON n_regionkey = r_regionkey
+UNION ALL SELECT r_name || '/' || n_name || '/' || c_name, 'blob', 'c' || c_custkey, 3 FROM region JOIN nation ON n_regionkey = r_regionkey JOIN customer ON c_nationkey = n_nationkey"""
+
+
+@query(LEVELS)
+def list_tree(spark, sf_dir):
+    return trees.list_tree(model.tree_entries(spark, sf_dir), "root")
+
+
+@query(f"SELECT DISTINCT oid, kind FROM ({LEVELS}) WHERE starts_with(path, 'ASIA/') UNION SELECT 'r' || r_regionkey, 'tree' FROM region WHERE r_name = 'ASIA'")
+def tree_closure(spark, sf_dir):
+    e = model.tree_entries(spark, sf_dir)
+    return trees.tree_closure(e, e.where("name = 'ASIA'").select("oid"))
+
+
+SNAPSHOTS = MODEL + """, a AS (SELECT path, oid FROM files WHERE doc_id % 10 <> 0),
+b AS (SELECT path, CASE WHEN doc_id % 7 = 0 THEN sha1('blob ' || (size + 1) || chr(0) || text || 'x') ELSE oid END AS oid FROM files JOIN documents USING (doc_id) WHERE doc_id % 10 <> 1)
+"""
+
+
+def snapshots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    f = model.files(spark, sf_dir)
+    changed = f.join(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id").where("doc_id % 10 <> 1")
+    oid = F.when(F.col("doc_id") % 7 == 0, scalars.blob_id(F.concat("text", F.lit("x")))).otherwise(F.col("oid"))
+    return f.where("doc_id % 10 <> 0").select("path", "oid"), changed.select("path", oid.alias("oid"))
+
+
+@query(SNAPSHOTS + """SELECT path, CASE WHEN a.oid IS NULL THEN 'added' WHEN b.oid IS NULL THEN 'deleted' ELSE 'modified' END AS change, a.oid AS old_oid, b.oid AS new_oid
+    FROM a FULL JOIN b USING (path) WHERE a.oid IS DISTINCT FROM b.oid""")
+def diff_commit(spark, sf_dir):
+    return trees.diff(*snapshots(spark, sf_dir))
+
+
+@query(SNAPSHOTS + "SELECT path, 'added' AS change, NULL::VARCHAR AS old_oid, oid AS new_oid FROM b")
+def diff_root(spark, sf_dir):
+    _, b = snapshots(spark, sf_dir)
+    return trees.diff(b.limit(0), b)
+
+
+@query(MODEL + """SELECT path || '/inner' AS path, 'added' AS change, NULL::VARCHAR AS old_oid, oid AS new_oid FROM files WHERE doc_id % 10 = 0
+    UNION ALL SELECT path, 'deleted', oid, NULL FROM files WHERE doc_id % 10 = 0""")
+def diff_file_dir(spark, sf_dir):
+    f = model.files(spark, sf_dir)
+    new = f.select(F.when(F.col("doc_id") % 10 == 0, F.concat("path", F.lit("/inner"))).otherwise(F.col("path")).alias("path"), "oid")
+    return trees.diff(f, new)
+
+
+@query(MODEL + """SELECT path, oid FROM files WHERE doc_id % 10 <> 0 AND doc_id % 11 <> 0 UNION ALL SELECT path, sha1('put' || doc_id) FROM files WHERE doc_id % 10 = 0 AND doc_id % 11 <> 0""")
+def create_commit(spark, sf_dir):
+    f = model.files(spark, sf_dir)
+    edits = f.where("doc_id % 10 = 0 or doc_id % 11 = 0").select("path", F.when(F.col("doc_id") % 11 != 0, F.sha1(F.concat(F.lit("put"), "doc_id").cast("binary"))).alias("oid"))
+    return trees.edit(f.select("path", "oid"), edits)
+
+
+@query(MODEL + """, low AS (SELECT lang || '/' || source AS path, sha1(string_agg('100644 ' || doc_id || ' ' || oid, chr(10) ORDER BY CAST(doc_id AS VARCHAR))) AS oid, lang, source FROM files JOIN documents USING (doc_id) GROUP BY lang, source),
+mid AS (SELECT lang AS path, sha1(string_agg('40000 ' || source || ' ' || oid, chr(10) ORDER BY source || '/')) AS oid FROM low GROUP BY lang)
+SELECT path, oid FROM low UNION ALL SELECT path, oid FROM mid UNION ALL SELECT '', sha1(string_agg('40000 ' || path || ' ' || oid, chr(10) ORDER BY path || '/')) FROM mid""")
+def write_trees(spark, sf_dir):
+    return trees.directories(model.files(spark, sf_dir).select("path", "oid"))
+
+
+@query(MODEL + "SELECT id, row_number() OVER (PARTITION BY branch ORDER BY ts, id) - 1 AS depth FROM commits")
+def first_parent_history(spark, sf_dir):
+    return graph.history(model.commits(spark, sf_dir).select("id"), model.edges(spark, sf_dir))
+
+
+@query(MODEL + "SELECT branch, id, n FROM (SELECT branch, id, row_number() OVER (PARTITION BY branch ORDER BY ts DESC, id DESC) AS n FROM commits) WHERE n <= 20")
+def history_page(spark, sf_dir):
+    depth = graph.history(model.commits(spark, sf_dir).select("id"), model.edges(spark, sf_dir))
+    newest = F.row_number().over(Window.partitionBy("branch").orderBy(F.desc("depth")))
+    return depth.join(model.commits(spark, sf_dir), "id").select("branch", "id", newest.alias("n")).where("n <= 20")
+
+
+@query("SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS depth FROM conversations")
+def turn_chain(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat_ws(":", "conv_id", "turn").alias("id"))
+    before = F.lag("id").over(Window.partitionBy("conv_id").orderBy("turn"))
+    e = c.select(F.col("id").alias("child"), before.alias("parent"), F.lit(0).alias("ord")).where("parent is not null")
+    return graph.history(c.select("id"), e).join(c, "id").select("conv_id", "turn", "depth")
+
+
+@query(MODEL + ", up AS (SELECT id, 1 AS g FROM commits UNION SELECT e.child, up.g + 1 FROM up JOIN edges e ON e.parent = up.id) SELECT id, CAST(max(g) AS BIGINT) AS generation FROM up GROUP BY id")
+def commit_generation(spark, sf_dir):
+    return the_graph(spark, sf_dir).generations()
+
+
+PAIRS = ", pairs AS (SELECT t.oid AS d, c.id AS a FROM tips t JOIN commits c ON c.branch IN (t.branch, t.branch - 1) AND c.id % 20 = 1)\n"
+
+
+def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = model.commits(spark, sf_dir).where("id % 20 = 1").select(F.col("id").alias("a"), F.explode(F.array("branch", F.col("branch") + 1)).alias("branch"))
+    return c.join(tips(spark, sf_dir), "branch").select("a", F.col("oid").alias("d"))
+
+
+@query(MODEL + PAIRS + ", seeds AS (SELECT DISTINCT d AS seed, d AS id FROM pairs)" + CLOSURE + "SELECT a, d, EXISTS (SELECT 1 FROM reached r WHERE r.seed = d AND r.id = a) AS is_ancestor FROM (SELECT DISTINCT a, d FROM pairs)")
+def is_ancestor_pairs(spark, sf_dir):
+    return the_graph(spark, sf_dir).is_ancestor(pairs(spark, sf_dir))
+
+
+@query(MODEL + """, updates AS (SELECT 'refs/heads/u' || t.branch AS refname, CASE WHEN t.branch % 5 = 0 THEN NULL ELSE o.id END AS old, CASE WHEN t.branch % 7 = 0 THEN NULL ELSE t.oid END AS new
+    FROM tips t JOIN (SELECT branch, min(id) AS id FROM commits GROUP BY 1) o ON o.branch = t.branch - t.branch % 2)
+, seeds AS (SELECT DISTINCT new AS seed, new AS id FROM updates WHERE new IS NOT NULL)""" + CLOSURE + """SELECT refname, old, new, old IS NOT NULL AND new IS NOT NULL AND NOT EXISTS (SELECT 1 FROM reached r WHERE r.seed = new AND r.id = old) AS force FROM updates""")
+def force_flags(spark, sf_dir):
+    t = tips(spark, sf_dir)
+    oldest = model.commits(spark, sf_dir).groupBy(F.col("branch").alias("b")).agg(F.min("id").alias("o"))
+    u = t.join(oldest, F.col("branch") - F.col("branch") % 2 == F.col("b")).select(F.concat(F.lit("refs/heads/u"), "branch").alias("refname"), F.when(F.col("branch") % 5 != 0, F.col("o")).alias("old"), F.when(F.col("branch") % 7 != 0, F.col("oid")).alias("new"))
+    return graph.force_flags(the_graph(spark, sf_dir), u)
+
+
+@query(MODEL + ", pairs AS (SELECT x.oid AS a, y.oid AS b FROM tips x JOIN tips y ON y.branch = x.branch + 1), seeds AS (SELECT DISTINCT oid AS seed, oid AS id FROM tips)" + CLOSURE + """
+, common AS (SELECT p.a, p.b, r.id FROM pairs p JOIN reached r ON r.seed = p.a JOIN reached s ON s.seed = p.b AND s.id = r.id)
+SELECT a, b, id AS base FROM common c WHERE NOT EXISTS (SELECT 1 FROM common d JOIN edges e ON e.child = d.id WHERE d.a = c.a AND d.b = c.b AND e.parent = c.id)""")
+def merge_bases_pairs(spark, sf_dir):
+    t = tips(spark, sf_dir)
+    p = t.select((F.col("branch") + 1).alias("branch"), F.col("oid").alias("a")).join(t, "branch").select("a", F.col("oid").alias("b"))
+    return the_graph(spark, sf_dir).merge_bases(p)
+
+
+WALK = MODEL + ", seeds AS (SELECT branch % 2 AS seed, oid AS id FROM tips WHERE branch % 10 < 2)" + CLOSURE
+
+
+@query(WALK + "SELECT id FROM reached WHERE seed = 1 EXCEPT SELECT id FROM reached WHERE seed = 0")
+def rev_walk_wants_haves(spark, sf_dir):
+    t = tips(spark, sf_dir)
+    return the_graph(spark, sf_dir).between(t.where("branch % 10 = 1").select(F.col("oid").alias("id")), t.where("branch % 10 = 0").select(F.col("oid").alias("id")))
+
+
+@query(MODEL + ", walk AS (SELECT oid AS id, 1 AS depth FROM tips UNION SELECT e.parent, w.depth + 1 FROM walk w JOIN edges e ON e.child = w.id WHERE w.depth < 4) SELECT id, min(depth) AS depth, min(depth) >= 4 AS shallow FROM walk GROUP BY id")
+def deepen_n(spark, sf_dir):
+    return graph.deepen(model.edges(spark, sf_dir), tips(spark, sf_dir).select(F.col("oid").alias("id")), 4)
+
+
+@query(WALK + ", sent AS (SELECT id FROM reached WHERE seed = 1 EXCEPT SELECT id FROM reached WHERE seed = 0) SELECT DISTINCT f.oid FROM sent JOIN files f ON f.doc_id = sent.id")
+def segment_objects(spark, sf_dir):
+    return rev_walk_wants_haves(spark, sf_dir).join(model.files(spark, sf_dir), F.col("id") == F.col("doc_id")).select("oid").distinct()
+
+
+@query(MODEL + "SELECT path, oid, size FROM files WHERE size < 1024 OR doc_id % 97 = 0")
+def filter_blob_limit(spark, sf_dir):
+    limit = scalars.size_argument("1k")
+    return model.files(spark, sf_dir).where((F.col("size") < limit) | (F.col("doc_id") % 97 == 0)).select("path", "oid", "size")
+
+
+UPDATES = MODEL + """, updates AS (SELECT branch // 10 AS command, branch AS ord, 'refs/heads/u' || branch AS refname,
+    CASE WHEN branch % 4 = 0 THEN NULL WHEN branch % 4 = 1 AND branch % 3 = 0 THEN oid + 1 ELSE oid END AS old, oid + 5 AS new FROM tips)
+, met AS (SELECT u.*, r.oid AS now, CASE WHEN u.old IS DISTINCT FROM r.oid THEN 'STALE_OLD_VALUE' END AS own FROM updates u LEFT JOIN refs r ON r.name = u.refname)
+"""
+
+
+def updates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = F.col("branch")
+    old = F.when(b % 4 == 0, F.lit(None)).when((b % 4 == 1) & (b % 3 == 0), F.col("oid") + 1).otherwise(F.col("oid"))
+    return tips(spark, sf_dir).select(F.floor(b / 10).alias("command"), b.alias("ord"), F.concat(F.lit("refs/heads/u"), b).alias("refname"), old.alias("old"), (F.col("oid") + 5).alias("new"))
+
+
+@query(UPDATES + "SELECT command, ord, refname, own AS reason FROM met")
+def cas_update_refs(spark, sf_dir):
+    return refs.evaluate(updates(spark, sf_dir), model.refs(spark, sf_dir), atomic=False)
+
+
+@query(UPDATES + "SELECT command, ord, refname, coalesce(own, CASE WHEN bool_or(own IS NOT NULL) OVER (PARTITION BY command) THEN 'ATOMIC_FAILURE' END) AS reason FROM met")
+def cas_atomic(spark, sf_dir):
+    return refs.evaluate(updates(spark, sf_dir), model.refs(spark, sf_dir), atomic=True)
+
+
+@query(MODEL + """, u AS (SELECT branch // 10 AS command, branch AS ord, CASE WHEN branch % 9 = 0 THEN 'refs/heads/a..b' WHEN branch % 9 = 1 THEN 'refs/heads/same' ELSE 'refs/heads/u' || branch END AS refname,
+    CASE WHEN branch % 6 = 0 THEN NULL WHEN branch % 6 = 1 THEN -1 ELSE oid END AS new FROM tips)
+SELECT command, ord, refname, CASE WHEN refname = 'refs/heads/a..b' THEN 'INVALID_NAME' WHEN count(*) OVER (PARTITION BY command, refname, new IS NULL) > 1 THEN 'REPEATED_REF'
+    WHEN new IS NULL AND refname = 'refs/heads/u6' THEN 'DELETES_HEAD' WHEN new IS NOT NULL AND kind IS NULL THEN 'MISSING_OBJECT' WHEN kind <> 'commit' THEN 'NON_COMMIT' END AS reason
+    FROM u LEFT JOIN (SELECT id, CASE WHEN id % 3 = 0 THEN 'tag' ELSE 'commit' END AS kind FROM commits) c ON c.id = u.new""")
+def push_checks(spark, sf_dir):
+    b = F.col("branch")
+    name = F.when(b % 9 == 0, "refs/heads/a..b").when(b % 9 == 1, "refs/heads/same").otherwise(F.concat(F.lit("refs/heads/u"), b))
+    new = F.when(b % 6 == 0, F.lit(None)).when(b % 6 == 1, F.lit(-1)).otherwise(F.col("oid"))
+    u = tips(spark, sf_dir).select(F.floor(b / 10).alias("command"), b.alias("ord"), name.alias("refname"), new.alias("new"))
+    objects = model.commits(spark, sf_dir).select(F.col("id").alias("oid"), F.when(F.col("id") % 3 == 0, "tag").otherwise("commit").alias("kind"))
+    return refs.prechecks(u, scalars.ref_name_ok(F.col("refname")), objects, "refs/heads/u6")
+
+
+@query(MODEL + """, b AS (SELECT branch % 5 AS repo, CASE WHEN branch = 6 THEN 'refs/heads/main' WHEN branch = 7 THEN 'refs/heads/master' ELSE 'refs/heads/u' || branch END AS name FROM tips)
+SELECT repo, CASE WHEN bool_or(name = 'refs/heads/u5') THEN 'refs/heads/u5' ELSE coalesce(max(CASE WHEN name = 'refs/heads/main' THEN name END), max(CASE WHEN name = 'refs/heads/master' THEN name END), min(name)) END AS head FROM b GROUP BY repo""")
+def head_fixup(spark, sf_dir):
+    b = F.col("branch")
+    r = tips(spark, sf_dir).select((b % 5).alias("repo"), F.when(b == 6, "refs/heads/main").when(b == 7, "refs/heads/master").otherwise(F.concat(F.lit("refs/heads/u"), b)).alias("name"))
+    return refs.head_fixup(r, r.select("repo", F.lit("refs/heads/u5").alias("head")).distinct())
+
+
+THEIRS = ", theirs AS (SELECT name, CASE WHEN oid % 3 = 0 THEN oid + 1 ELSE oid END AS oid FROM refs WHERE oid % 7 <> 0)\n"
+
+
+def theirs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return model.refs(spark, sf_dir).where("oid % 7 <> 0").select("name", F.when(F.col("oid") % 3 == 0, F.col("oid") + 1).otherwise(F.col("oid")).alias("oid"))
+
+
+@query(MODEL + THEIRS + "SELECT name, r.oid AS old, t.oid AS new FROM refs r FULL JOIN theirs t USING (name) WHERE starts_with(name, 'refs/heads/') AND r.oid IS DISTINCT FROM t.oid")
+def fetch_plan(spark, sf_dir):
+    return refs.mirror_plan(model.refs(spark, sf_dir), theirs(spark, sf_dir), ["refs/heads/"])
+
+
+@query(MODEL + THEIRS + """, specs AS (SELECT CASE WHEN oid % 11 = 0 THEN NULL WHEN oid % 13 = 0 THEN 'refs/heads/none' ELSE name END AS source, name AS destination FROM refs)
+SELECT source, destination, t.oid AS old, r.oid AS new, CASE WHEN source IS NULL THEN CASE WHEN t.oid IS NULL THEN 'up_to_date' ELSE 'delete' END WHEN r.oid IS NULL THEN 'reject_not_held' WHEN r.oid = t.oid THEN 'up_to_date' ELSE 'send' END AS action
+FROM specs s LEFT JOIN refs r ON r.name = s.source LEFT JOIN theirs t ON t.name = s.destination""")
+def push_plan(spark, sf_dir):
+    r = model.refs(spark, sf_dir)
+    specs = r.select(F.when(F.col("oid") % 11 == 0, F.lit(None)).when(F.col("oid") % 13 == 0, F.lit("refs/heads/none")).otherwise(F.col("name")).alias("source"), F.col("name").alias("destination"))
+    return refs.push_plan(specs, r, theirs(spark, sf_dir))
+
+
+@query(MODEL + """, commands AS (SELECT branch // 10 AS push, branch AS ord, 'refs/heads/u' || branch AS refname FROM tips),
+said AS (SELECT branch // 10 AS push, 'refs/heads/u' || branch AS refname, min(CASE WHEN id % 4 = 0 THEN id END) AS seq, count(*) AS n FROM commits WHERE branch <> 33 GROUP BY ALL)
+SELECT c.push, ord, c.refname, CASE WHEN bool_or(n IS NULL) OVER (PARTITION BY c.push) THEN 'UNJUDGED' WHEN seq IS NOT NULL THEN 'REFUSED: r' || seq ELSE 'ALLOWED' END AS verdict FROM commands c LEFT JOIN said USING (push, refname)""")
+def judgements(spark, sf_dir):
+    b, name = F.col("branch"), F.concat(F.lit("refs/heads/u"), F.col("branch"))
+    commands = tips(spark, sf_dir).select(F.floor(b / 10).alias("push"), b.alias("ord"), name.alias("refname"))
+    said = model.commits(spark, sf_dir).where("branch <> 33").select(F.floor(b / 10).alias("push"), name.alias("refname"), (F.col("id") % 4 != 0).alias("allow"), F.concat(F.lit("r"), "id").alias("reason"), F.col("id").alias("seq"))
+    return refs.judge(commands, said)
+
+
+LAYERS = "(SELECT o_orderkey // 100 AS seq, o_custkey % 10 AS repo, count(*) AS objects FROM orders GROUP BY 1, 2)"
+
+
+@query(f"SELECT repo, seq, objects, CAST(coalesce(sum(objects) OVER (PARTITION BY repo ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS first_id FROM {LAYERS}")
+def dense_ids(spark, sf_dir):
+    layers = table(spark, sf_dir, "orders").groupBy(F.floor(F.col("o_orderkey") / 100).alias("seq"), (F.col("o_custkey") % 10).alias("repo")).agg(F.count("*").alias("objects"))
+    return maintain.dense_ids(layers)
+
+
+@query("""SELECT l_orderkey * 10 + l_linenumber AS file, l_suppkey AS generation, l_partkey * 1000 AS unnamed_since FROM lineitem
+    WHERE l_orderkey * 10 + l_linenumber NOT IN (SELECT o_orderkey * 10 + 1 FROM orders) AND l_suppkey < 48 AND 5000000 - l_partkey * 1000 > 21600""")
+def sweep_candidates(spark, sf_dir):
+    listed = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("file"), F.col("l_suppkey").alias("generation"), (F.col("l_partkey") * 1000).alias("unnamed_since"))
+    named = table(spark, sf_dir, "orders").select((F.col("o_orderkey") * 10 + 1).alias("file"))
+    return maintain.sweepable(listed, named, 5_000_000, 50, 21_600)
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 9 = 0 THEN 'ACCEPTED' WHEN o_custkey % 8 > 5 THEN 'AHEAD' WHEN o_custkey % 8 < 3 THEN 'STALE' ELSE 'ACCEPTED' END AS outcome FROM orders""")
+def upload_window(spark, sf_dir):
+    u = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") % 8).alias("generation"), F.lit(5).alias("current"), (F.col("o_orderkey") % 9 == 0).alias("inline"))
+    return maintain.admit(u).select("o_orderkey", "outcome")
+
+
+@query(MODEL + """, changes AS (SELECT 'b' || branch AS name, CASE WHEN kind = 'logout' OR id % 10 = 0 THEN NULL ELSE id END AS oid, row_number() OVER (PARTITION BY branch ORDER BY ts, id) AS version FROM commits)
+SELECT name, oid, version FROM changes QUALIFY row_number() OVER (PARTITION BY name ORDER BY version DESC) = 1 AND oid IS NOT NULL""")
+def fold_changes(spark, sf_dir):
+    version = F.row_number().over(Window.partitionBy("branch").orderBy("ts", "id")).cast("long")
+    c = model.commits(spark, sf_dir)
+    oid = F.when((F.col("kind") == "logout") | (F.col("id") % 10 == 0), F.lit(None)).otherwise(F.col("id"))
+    return refs.fold(c.select(F.concat(F.lit("b"), "branch").alias("name"), oid.alias("oid"), version.alias("version")))
+
+
+@query("SELECT repo, arg_min(node, md5(repo || '|' || node)) AS node FROM (SELECT replace(c_name, '#', '-') AS repo FROM customer), (VALUES ('n1'), ('n2'), ('n3')) AS v(node) GROUP BY repo")
+def owner_choice(spark, sf_dir):
+    return maintain.owners(repositories(spark, sf_dir), ["n1", "n2", "n3"])
+
+
+@query("SELECT o_orderpriority, count(*) AS n, max(o_totalprice) AS largest, sum(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END)::BIGINT AS refused FROM orders GROUP BY 1")
+def status_totals(spark, sf_dir):
+    return table(spark, sf_dir, "orders").groupBy("o_orderpriority").agg(F.count("*").alias("n"), F.max("o_totalprice").alias("largest"), F.count_if(F.col("o_orderstatus") == "F").alias("refused"))
+
+
+@query(MODEL + "SELECT path, CAST((row_number() OVER (PARTITION BY split_part(path, '/', 1) ORDER BY path) - 1) // 100 AS INT) AS frame FROM files")
+def change_frames(spark, sf_dir):
+    place = F.row_number().over(Window.partitionBy(F.substring_index("path", "/", 1)).orderBy("path")) - 1
+    return model.files(spark, sf_dir).select("path", F.floor(place / 100).cast("int").alias("frame"))
