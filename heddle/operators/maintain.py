@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
+from itertools import accumulate
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -60,30 +63,24 @@ def owners(repos: DataFrame, nodes: list[str]) -> DataFrame:
 
 
 def pick_runs(sizes: list[int], factor: int = 8, floor: int = 64 * 1024) -> list[tuple[int, int]]:
-    """Adjacent layers worth merging: runs (start, end) of at least ``factor`` layers in one size class.
+    """Adjacent layers worth merging, oldest first: runs (start, end) of ``factor`` layers or more.
 
-    Classes grow by ``factor`` from ``floor``; a smaller layer inside a run of larger ones joins them.
+    A size class holds everything up to the last layer that is within ``factor`` of the
+    largest one left (small layers count as ``floor``).  A run takes ``factor`` layers,
+    and more while its bytes stay within ``factor`` times that largest layer.
+    The list is one repository's manifest, a few dozen entries.
     """
-    def rank(size: int) -> int:
-        k, top = 0, floor
-        while size > top:
-            k, top = k + 1, top * factor
-        return k
-
+    counted = [max(s, floor) for s in sizes]
+    total = [0, *accumulate(sizes)]
     runs: list[tuple[int, int]] = []
-    at = 0
-    while at < len(sizes):
-        best = None
-        for level in sorted({rank(s) for s in sizes[at:]}):
-            end = at
-            while end < len(sizes) and rank(sizes[end]) <= level:
-                end += 1
-            if end - at >= factor and sum(rank(s) == level for s in sizes[at:end]) >= 1:
-                best = (at, end)
-                break
-        if best:
-            runs.append(best)
-            at = best[1]
-        else:
-            at += 1
+    begin = 0
+    while begin < len(sizes):
+        top = max(counted[begin:])
+        stop = 1 + max(k for k in range(begin, len(sizes)) if counted[k] * factor >= top)
+        while begin < stop:
+            by_bytes = bisect_right(total, total[begin] + top * factor) - 1
+            end = min(stop, max(begin + factor, by_bytes))
+            if end - begin >= factor:
+                runs.append((begin, end))
+            begin = end
     return runs

@@ -91,9 +91,16 @@ def test_pages(spark):
 
 
 def test_runs():
-    assert maintain.pick_runs([10] * 8) == [(0, 8)]
-    assert maintain.pick_runs([10] * 7) == []
-    assert maintain.pick_runs([1 << 30, *[10] * 9]) == [(1, 10)]
+    cases = {
+        ((100, 1, 1, 1), 1): [],
+        ((1000, 10, 10, 10, 10), 1): [(1, 5)],
+        ((5, 1, 9, 2, 1, 1, 7, 3), 10): [(0, 8)],
+        ((9,) * 10, 10): [(0, 4), (4, 8)],
+        ((1,) * 100, 10): [(0, 40), (40, 80), (80, 100)],
+        ((100, 1, 100, 100, 100, 10), 1): [(0, 4)],
+        ((1000,) * 4 + (10,) * 4, 1): [(0, 4), (4, 8)],
+    }
+    assert {k: maintain.pick_runs(list(k[0]), 4, k[1]) for k in cases} == cases
 
 
 def test_feed(spark, tmp_path):
