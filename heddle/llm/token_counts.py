@@ -28,7 +28,8 @@ from heddle.llm.arrow import slices, texts_of
 MARK = "▁"
 #: Words with the space marks before them, line feeds, and marks with nothing behind.
 _PARTS = re.compile(f"\n|{MARK}*[^{MARK}\n]+|{MARK}+")
-MEMO_WORDS = 300_000
+#: Words whose totals a process holds, and prefixes of HEAD characters whose tables it holds.
+MEMO_WORDS, MEMO_HEADS, HEAD = 700_000, 150_000, 6
 
 
 class PieceBpe:
@@ -45,8 +46,10 @@ class PieceBpe:
         self.longest = max(map(len, self.score))
         if any(MARK in p.lstrip(MARK) for p in self.score):
             raise ValueError("a piece reaches over the start of a word; words can't be counted apart")
-        self._own: dict[str, bool] = {}
+        #: Pieces that are the encoding of their own text; no other can be a last piece.
+        self.standing = {p for p in self.score if self._merged(p) == [p]}
         self._fit: dict[tuple[str, str], bool] = {}
+        self._heads: dict[str, tuple[list[str | None], list[int]]] = {}
 
     def _merged(self, s: str) -> list[str]:
         """Pieces of a short text: the best-scored neighbours merge first, then the leftmost."""
@@ -58,39 +61,48 @@ class PieceBpe:
             k = min(joins)[1]
             parts[k : k + 2] = [parts[k] + parts[k + 1]]
 
-    def _stands(self, piece: str) -> bool:
-        known = self._own.get(piece)
-        if known is None:
-            known = self._own[piece] = piece in self.score and self._merged(piece) == [piece]
-        return known
-
     def _fits(self, left: str, right: str) -> bool:
-        known = self._fit.get((left, right))
-        if known is None:
-            if len(self._fit) > 500_000:
-                self._fit.clear()
-            known = self._fit[left, right] = self._merged(left + right) == [left, right]
+        if len(self._fit) > 500_000:
+            self._fit.clear()
+        known = self._fit[left, right] = self._merged(left + right) == [left, right]
         return known
 
-    def table(self, part: str) -> list[int]:
-        """Counts for the prefixes of a part of 0, 1, ... characters."""
-        last: list[str | None] = [None]
-        count = [0]
-        score, longest = self.score, self.longest
-        for end in range(1, len(part) + 1):
+    def _extend(self, part: str, last: list[str | None], count: list[int]) -> None:
+        """Carry the table of a prefix on to the whole part."""
+        score, standing, fit, longest = self.score, self.standing, self._fit, self.longest
+        for end in range(len(count), len(part) + 1):
             char = part[end - 1]
             if char not in score:  # bytes; these never merge
                 last.append(None)
                 count.append(count[-1] + len(char.encode("utf-8", "surrogatepass")))
                 continue
-            for start in range(max(0, end - longest), end):
+            for start in range(end - longest if end > longest else 0, end):
                 piece = part[start:end]
-                if piece in score and (before := last[start], self._stands(piece))[1] and (before is None or self._fits(before, piece)):
+                if piece in standing:
+                    before = last[start]
+                    if before is not None:
+                        fits = fit.get((before, piece))
+                        if not (self._fits(before, piece) if fits is None else fits):
+                            continue
                     last.append(piece)
                     count.append(count[start] + 1)
                     break
             else:
                 raise AssertionError(f"no last piece for {part[:end]!r}")
+
+    def table(self, part: str) -> list[int]:
+        """Counts for the prefixes of a part of 0, 1, ... characters; words with one beginning share its table."""
+        if len(part) <= HEAD:
+            last, count = [None], [0]
+        else:
+            head = self._heads.get(part[:HEAD])
+            if head is None:
+                if len(self._heads) > MEMO_HEADS:
+                    self._heads.clear()
+                head = self._heads[part[:HEAD]] = ([None], [0])
+                self._extend(part[:HEAD], *head)
+            last, count = head[0].copy(), head[1].copy()
+        self._extend(part, last, count)
         return count
 
 
