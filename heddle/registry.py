@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from heddle.functions import scalars
-from heddle.operators import graph, maintain, refs, trees
+from heddle.operators import graph, lifecycle, maintain, refs, trees
 from heddle.sources import model
 from heddle.sources.model import table
 
@@ -452,3 +452,51 @@ def status_totals(spark, sf_dir):
 def change_frames(spark, sf_dir):
     place = F.row_number().over(Window.partitionBy(F.substring_index("path", "/", 1)).orderBy("path")) - 1
     return model.files(spark, sf_dir).select("path", F.floor(place / 100).cast("int").alias("frame"))
+
+
+@query(MODEL + """, log AS (SELECT 'r' || branch AS repo, id AS seq, CASE WHEN kind = 'purchase' THEN 'delete' ELSE 'create' END AS action, 'refs/heads/h' || id AS head FROM commits),
+marked AS (SELECT *, action = 'create' AND coalesce(lag(action) OVER (PARTITION BY repo ORDER BY seq), 'delete') = 'delete' AS begins FROM log)
+SELECT repo, CAST(sum(CASE WHEN begins THEN 1 ELSE 0 END) AS BIGINT) AS epoch, arg_max(head, seq) FILTER (WHERE begins) AS head FROM marked GROUP BY repo HAVING arg_max(action, seq) = 'create'""")
+def current_repositories(spark, sf_dir):
+    c = model.commits(spark, sf_dir)
+    log = c.select(F.concat(F.lit("r"), "branch").alias("repo"), F.col("id").alias("seq"), F.when(F.col("kind") == "purchase", "delete").otherwise("create").alias("action"), F.concat(F.lit("refs/heads/h"), "id").alias("head"))
+    return lifecycle.current_repositories(log)
+
+
+@query("""WITH RECURSIVE walk AS (SELECT doc_id AS oid, doc_id AS spot, 0 AS n FROM documents UNION ALL SELECT oid, spot - 1, n + 1 FROM walk WHERE spot % 90 <> 0 AND n < 100)
+SELECT oid, CASE WHEN max(n) <= 64 THEN min(spot) END AS peeled FROM walk GROUP BY oid""")
+def peel_tags(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("oid"))
+    return lifecycle.peel(d, d.where("oid % 90 <> 0").select(F.col("oid").alias("tag"), (F.col("oid") - 1).alias("target")))
+
+
+@query(MODEL + "SELECT DISTINCT id AS tag, id AS target FROM commits WHERE kind = 'signup' AND id % 50 = 0 AND id IN (SELECT doc_id FROM files WHERE size > 500)")
+def include_tags(spark, sf_dir):
+    t = model.commits(spark, sf_dir).where("kind = 'signup' and id % 50 = 0").select(F.col("id").alias("tag"), F.col("id").alias("target"))
+    return lifecycle.include_tags(t, model.files(spark, sf_dir).where("size > 500").select(F.col("doc_id").alias("oid")))
+
+
+ODD = ["", "a/b", ".", "..", ".GIT", ".git . ", "git~1", ".gi\u200ct", ".git::$INDEX", "ok"]
+
+
+@query("""SELECT n_regionkey AS tree, n_nationkey AS ord, CASE WHEN n_nationkey % 11 = 10 THEN 'NULL_OID' WHEN k = 0 THEN 'EMPTY_NAME' WHEN k = 1 THEN 'FULL_PATH' WHEN k = 2 THEN 'DOT' WHEN k = 3 THEN 'DOT_DOT' WHEN k < 9 THEN 'DOT_GIT' ELSE 'ZERO_PADDED_MODE' END AS fault
+FROM (SELECT *, n_nationkey % 10 AS k FROM nation)""")
+def tree_fsck(spark, sf_dir):
+    name = F.get(F.array(*map(F.lit, ODD)), F.col("n_nationkey") % 10)
+    oid = F.when(F.col("n_nationkey") % 11 == 10, F.lit("0" * 40)).otherwise(F.lit("1" * 40))
+    e = table(spark, sf_dir, "nation").select(F.col("n_regionkey").alias("tree"), F.col("n_nationkey").alias("ord"), F.lit("040000").alias("mode"), name.alias("name"), oid.alias("oid"))
+    return lifecycle.tree_faults(e)
+
+
+@query("""SELECT l_orderkey AS commit, l_linenumber AS path, l_partkey % 3 AS oid FROM lineitem l WHERE NOT EXISTS
+    (SELECT 1 FROM lineitem p WHERE (p.l_orderkey = l.l_orderkey - 1 OR p.l_orderkey = l.l_orderkey - 2) AND p.l_linenumber = l.l_linenumber AND p.l_partkey % 3 = l.l_partkey % 3)""")
+def segment_members(spark, sf_dir):
+    f = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("commit"), F.col("l_linenumber").alias("path"), (F.col("l_partkey") % 3).alias("oid"))
+    back = f.select(F.explode(F.array(F.col("commit") + 1, F.col("commit") + 2)).alias("commit"), F.col("commit").alias("parent"), "path", "oid")
+    return lifecycle.brought(f, back)
+
+
+@query()
+def topological_order(spark, sf_dir):
+    g = the_graph(spark, sf_dir).generations()
+    return lifecycle.topological(g, model.commits(spark, sf_dir).select("id", F.col("id").alias("place")))

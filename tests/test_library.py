@@ -14,7 +14,7 @@ from heddle.streaming import feed
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", sorted(registry.QUERIES))
+@pytest.mark.parametrize("name", sorted(registry.ORACLE_SQL))
 def test_same_as_sql(spark, name):
     assert_same(registry.QUERIES[name](spark, SF), registry.ORACLE_SQL[name], SF)
 
@@ -110,3 +110,10 @@ def test_feed(spark, tmp_path):
     got = []
     feed.deliver(feed.follow(spark, f"{tmp_path}/in/*"), lambda df, _: got.extend(df.collect()), f"{tmp_path}/cp").awaitTermination(60)
     assert {(r.name, r.oid) for r in feed.current(spark.createDataFrame(got, feed.CHANGES)).collect()} == {("a", "3"), ("b", "2")}
+
+
+def test_topological_order(spark):
+    from heddle.sources import model
+
+    place = {r.id: k for k, r in enumerate(registry.topological_order(spark, SF).collect())}
+    assert all(place[r.parent] < place[r.child] for r in model.edges(spark, SF).collect())
