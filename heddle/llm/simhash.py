@@ -24,19 +24,19 @@ component of rows with null ids only has a null id; extra columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations, repeat
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from heddle.llm import similar
 from heddle.llm.arrow import slices, texts_of, words_of
+from heddle.llm.shingles import forest, of_hashes, shingles
 from heddle.plans.components import stars
 from heddle.plans.durable import materialize
 
-SEED = 42
 RADIUS = 2
 PAIRS = 32
 #: Bit pairs 0..31 in six groups, and the choices of four of them.
@@ -50,15 +50,7 @@ CROWD = 128
 
 def fingerprint(words: list[bytes], size: int = 3) -> int:
     """Unsigned SimHash of the word shingles, repeats included."""
-    if not words:
-        return 0
-    shingles = map(b" ".join, zip(*(words[k:] for k in range(size)), strict=False)) if len(words) >= size else [b" ".join(words)]
-    h = np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), np.uint64)
-    ones = np.zeros(64, np.int64)
-    for start in range(0, len(h), 1 << 14):
-        part = h[start : start + (1 << 14)].astype("<u8")
-        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0])
+    return of_hashes(shingles(words, size))
 
 
 def fingerprints(df: DataFrame, id_col: str, text_col: str, size: int = 3) -> DataFrame:
@@ -93,24 +85,6 @@ def keys(fp: np.ndarray) -> np.ndarray:
     return out
 
 
-def _find(root: dict[int, int], x: int) -> int:
-    while root.setdefault(x, x) != x:
-        root[x] = root[root[x]]
-        x = root[x]
-    return x
-
-
-def forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
-    """Of the links between a and b those that join two trees."""
-    root: dict[int, int] = {}
-    out = []
-    for x, y in zip(a.tolist(), b.tolist(), strict=True):
-        if (p := _find(root, x)) != (q := _find(root, y)):
-            root[p] = q
-            out.append((x, y))
-    return out
-
-
 def crowd_links(fp: np.ndarray, choice: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Links among many fingerprints that differ in bits of the two groups left out only."""
     free = [bit for g in range(6) if g not in CHOICES[choice] for pair in GROUPS[g] for bit in (2 * pair, 2 * pair + 1)]
@@ -197,17 +171,17 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5) -> DataFrame:
-    """The rows of ``df`` with one row left of each component: that of the smallest id.
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of ``df`` with one row left of each group of similar texts: that of the smallest id.
 
-    Rows with a null id are kept.  Of several rows with the id that stays, one is kept.
+    Texts are linked by the share of their distinct shingles in common (see ``similar``), through
+    others too.  Rows with a null id are kept.  Of several rows with the id that stays, one is kept.
     """
-    found = materialize(near_duplicates(df, id_col, text_col, size).select(F.col(id_col).alias("the_id"), "component_id"), "components")
-    gone = found.where("the_id <> component_id").select("the_id")
+    rows, labels = similar.grouped(df.select(*df.columns), text_col, size, similarity)
+    ids = rows.select("row", F.col("rec")[id_col].alias("id")).where("id is not null")
+    named = ids.join(labels.hint("merge"), F.col("row") == F.col("at")).select("row", "id", "label")
+    stays = named.groupBy("label").agg(F.min(F.struct("id", "row")).alias("best"), F.count("*").alias("many")).where("many > 1")
+    gone = named.join(stays.select("label", F.col("best.row").alias("best")), "label").where("row <> best").select(F.col("row").alias("at"))
     # merged at every size: who goes grows with the texts, so it is never broadcast
-    kept = df.join(gone.hint("merge"), F.col(id_col) == F.col("the_id"), "left_anti")
-    twice = found.where("the_id = component_id").groupBy("the_id").count().where("count > 1").select("the_id")
-    if twice.isEmpty():
-        return kept
-    once = kept.join(twice, F.col(id_col) == F.col("the_id"), "left_anti")
-    return once.unionByName(kept.join(twice, F.col(id_col) == F.col("the_id"), "left_semi").dropDuplicates([id_col]))
+    kept = rows.join(gone.hint("merge"), F.col("row") == F.col("at"), "left_anti")
+    return kept.select(*(F.col("rec")[c].alias(c) for c in df.columns))
