@@ -130,14 +130,24 @@ def history(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def deepen(edges: DataFrame, wants: DataFrame, depth: int) -> DataFrame:
     """(id, depth, shallow) of commits within ``depth`` of the wants; those at the boundary are shallow."""
-    seen = wants.select("id", F.lit(1).alias("depth")).distinct()
-    front = seen
+    front = wants.select("id", F.lit(1).alias("depth")).distinct()
+    seen = materialize(front, "deepen")
     for d in range(2, depth + 1):
-        front = front.join(edges, F.col("id") == F.col("child")).select(F.col("parent").alias("id")).distinct().withColumn("depth", F.lit(d))
-        seen = seen.unionByName(front).groupBy("id").agg(F.min("depth").alias("depth"))
+        below = seen.where(F.col("depth") == d - 1).join(edges, F.col("id") == F.col("child")).select(F.col("parent").alias("id")).distinct()
+        front = below.join(seen.select("id"), "id", "left_anti").withColumn("depth", F.lit(d))
+        after = materialize(seen.unionByName(front), "deepen")
+        release(seen)
+        seen = after
+        if seen.where(F.col("depth") == d).isEmpty():
+            break
     return seen.select("id", "depth", (F.col("depth") >= depth).alias("shallow"))
 
 
+def deepen_relative(edges: DataFrame, shallow: DataFrame, more: int) -> DataFrame:
+    """(id, depth, shallow) of what lies up to ``more`` below a client's shallow commits (id)."""
+    return deepen(edges, shallow, more + 1).where("depth > 1").select("id", (F.col("depth") - 1).alias("depth"), "shallow")
+
+
 def force_flags(graph: Graph, updates: DataFrame) -> DataFrame:
     """``updates`` (refname, old, new) with ``force``: the old tip isn't an ancestor of the new one."""
     asked = graph.is_ancestor(updates.where("old is not null and new is not null").select(F.col("old").alias("a"), F.col("new").alias("d")))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from heddle.plans.durable import materialize
+
 
 def current_repositories(log: DataFrame) -> DataFrame:
     """(repo, epoch, head) that live after a log of creates and deletes (repo, seq, action, head).
@@ -32,6 +34,7 @@ def peel(starts: DataFrame, tags: DataFrame, most: int = 64) -> DataFrame:
     for _ in range(max(1, (most - 1).bit_length())):
         far = hop.select(F.col("tag").alias("t2"), F.col("target").alias("target2"), F.col("n").alias("n2"))
         hop = hop.join(far, F.col("target") == F.col("t2"), "left").select("tag", F.coalesce("target2", "target").alias("target"), (F.col("n") + F.coalesce("n2", F.lit(0))).alias("n"))
+        hop = materialize(hop, "hops")
     still = tags.select(F.col("tag").alias("t3"))
     ended = hop.join(still, F.col("target") == F.col("t3"), "left").select("tag", F.when(F.col("t3").isNull() & (F.col("n") <= most), F.col("target")).alias("end"))
     return starts.join(ended, F.col("oid") == F.col("tag"), "left").select("oid", F.when(F.col("tag").isNull(), F.col("oid")).otherwise(F.col("end")).alias("peeled"))

@@ -84,3 +84,34 @@ def pick_runs(sizes: list[int], factor: int = 8, floor: int = 64 * 1024) -> list
                 runs.append((begin, end))
             begin = end
     return runs
+
+
+def flush_due(layers: DataFrame, now_ms: int, age_ms: int = 30_000, most_bytes: int = 32 << 20, most: int = 256) -> DataFrame:
+    """(repo, due) by the age, bytes and number of the layers (repo, bytes, at) that wait."""
+    sums = layers.groupBy("repo").agg(F.min("at").alias("oldest"), F.sum("bytes").alias("bytes"), F.count("*").alias("n"))
+    due = F.when(F.col("n") >= most, "count").when(F.col("bytes") >= most_bytes, "bytes").when(F.lit(now_ms) - F.col("oldest") >= age_ms, "age")
+    return sums.select("repo", due.alias("due"))
+
+
+def stored_prefix(layers: DataFrame) -> DataFrame:
+    """The layers (repo, seq, bytes, inline) before the first inline one of their repository."""
+    first = layers.where("inline").groupBy("repo").agg(F.min("seq").alias("first"))
+    return layers.join(first, "repo", "left").where("first is null or seq < first").select("repo", "seq", "bytes")
+
+
+def pending(changed: DataFrame, settled: DataFrame) -> DataFrame:
+    """(repo, version) of repositories whose last layer change isn't settled yet, at a version as new."""
+    last = changed.groupBy("repo").agg(F.max("version").alias("version"))
+    done = settled.groupBy("repo").agg(F.max("version").alias("done"))
+    return last.join(done, "repo", "left").where("done is null or done < version").select("repo", "version")
+
+
+def reclaimable(listed: DataFrame, ended: DataFrame, now_ms: int, retention_ms: int) -> DataFrame:
+    """Files (repo, epoch, file, generation, since) of ended incarnations (repo, epoch, marker), up to the marker's generation, after retention."""
+    met = listed.join(ended, ["repo", "epoch"])
+    return met.where((F.col("generation") <= F.col("marker")) & (F.lit(now_ms) - F.col("since") > retention_ms)).select("file")
+
+
+def republish(uploads: DataFrame) -> DataFrame:
+    """Uploads that were refused as stale, to be proposed again under the current generation."""
+    return uploads.where("outcome = 'STALE'").withColumn("generation", F.col("current")).drop("outcome")

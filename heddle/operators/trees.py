@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from heddle.functions.scalars import object_id
+from heddle.operators.checks import tree_bytes
+
 TREE_ENTRIES, DIFF_CHANGES = 50_000, 50_000
 
 
@@ -64,7 +67,7 @@ def edit(base: DataFrame, edits: DataFrame) -> DataFrame:
 
 
 def directories(files: DataFrame) -> DataFrame:
-    """(path, oid) of every directory, from the deepest up; equal contents have equal oids."""
+    """(path, oid) of every directory, from the deepest up: the hash of its canonical bytes."""
     parts = F.split("path", "/")
     level = files.select("path", "oid", F.lit("100644").alias("mode"))
     deepest = files.agg(F.max(F.size(parts))).first()[0] or 0
@@ -73,8 +76,7 @@ def directories(files: DataFrame) -> DataFrame:
         here = level.where(F.size(parts) == d)
         here = here if above is None else here.unionByName(above)
         named = here.select(F.when(F.lit(d) > 1, F.array_join(F.slice(parts, 1, d - 1), "/")).otherwise("").alias("dir"), F.element_at(parts, -1).alias("name"), "mode", "oid")
-        entry = F.struct(F.concat("name", F.when(F.col("mode") == "40000", "/").otherwise("")).alias("key"), F.concat_ws(" ", "mode", "name", "oid").alias("line"))
-        trees = named.groupBy("dir").agg(F.sha1(F.array_join(F.transform(F.array_sort(F.collect_list(entry)), lambda e: e["line"]), "\n").cast("binary")).alias("oid"))
+        trees = tree_bytes(named.select(F.col("dir").alias("tree"), "mode", "name", "oid")).select(F.col("tree").alias("dir"), object_id("tree", F.col("content")).alias("oid"))
         found = trees.select(F.col("dir").alias("path"), "oid")
         above = found.select("path", "oid", F.lit("40000").alias("mode"))
         out = found if out is None else out.unionByName(found)

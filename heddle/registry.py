@@ -242,9 +242,16 @@ def create_commit(spark, sf_dir):
     return trees.edit(f.select("path", "oid"), edits)
 
 
-@query(MODEL + """, low AS (SELECT lang || '/' || source AS path, sha1(string_agg('100644 ' || doc_id || ' ' || oid, chr(10) ORDER BY CAST(doc_id AS VARCHAR))) AS oid, lang, source FROM files JOIN documents USING (doc_id) GROUP BY lang, source),
-mid AS (SELECT lang AS path, sha1(string_agg('40000 ' || source || ' ' || oid, chr(10) ORDER BY source || '/')) AS oid FROM low GROUP BY lang)
-SELECT path, oid FROM low UNION ALL SELECT path, oid FROM mid UNION ALL SELECT '', sha1(string_agg('40000 ' || path || ' ' || oid, chr(10) ORDER BY path || '/')) FROM mid""")
+#: The id of a tree in SQL, from its bytes in hex.
+TREE_ID = "sha1(unhex(hex('tree ' || length({0}) // 2) || '00' || {0}))"
+
+
+@query(MODEL + f""", low AS (SELECT lang || '/' || source AS path, string_agg(hex('100644 ' || doc_id) || '00' || upper(oid), '' ORDER BY CAST(doc_id AS VARCHAR)) AS h, lang, source FROM files JOIN documents USING (doc_id) GROUP BY lang, source),
+low_id AS (SELECT *, {TREE_ID.format('h')} AS oid FROM low),
+mid AS (SELECT lang AS path, string_agg(hex('40000 ' || source) || '00' || upper(oid), '' ORDER BY source || '/') AS h FROM low_id GROUP BY lang),
+mid_id AS (SELECT *, {TREE_ID.format('h')} AS oid FROM mid),
+top AS (SELECT string_agg(hex('40000 ' || path) || '00' || upper(oid), '' ORDER BY path || '/') AS h FROM mid_id)
+SELECT path, oid FROM low_id UNION ALL SELECT path, oid FROM mid_id UNION ALL SELECT '', {TREE_ID.format('h')} FROM top""")
 def write_trees(spark, sf_dir):
     return trees.directories(model.files(spark, sf_dir).select("path", "oid"))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 import __spark_entry__
 from heddle import registry
 from heddle.functions import scalars
-from heddle.operators import graph, maintain, refs, trees
+from heddle.operators import checks, graph, maintain, refs, trees
 from heddle.plans.components import stars
 from heddle.streaming import feed
 
@@ -117,3 +117,27 @@ def test_topological_order(spark):
 
     place = {r.id: k for k, r in enumerate(registry.topological_order(spark, SF).collect())}
     assert all(place[r.parent] < place[r.child] for r in model.edges(spark, SF).collect())
+
+
+def test_object_faults(spark):
+    person = "A <a@b> 5 +0000"
+    good = f"tree {'a' * 40}\nparent {'b' * 40}\nauthor {person}\ncommitter {person}\n\nmessage"
+    tag = f"object {'a' * 40}\ntype commit\ntag v1\ntagger {person}\n\nnotes"
+    commits = {
+        good: None, good.replace("parent b", "parent g"): "BAD_PARENT", good.replace(f"author {person}\n", f"author {person}\n" * 2): "MANY_AUTHORS",
+        good.replace("5 +0000", "x +0000"): "BAD_DATE", good.replace("5 +0000", "5 0000"): "BAD_ZONE", good.replace("5 +", "0 +"): None, good.replace(" 5 ", f" {'9' * 30} "): "DATE_OVERFLOW",
+        good.replace("A <a@b>", "A a@b>"): "BAD_NAME", good.replace("\n\nmessage", ""): "UNTERMINATED_HEADER", good + "\0": "NUL_IN_BODY", good.replace("A <a@b>", "A\0<a@b>"): "NUL_IN_HEADER",
+    }
+    tags = {tag: None, tag.replace("type commit", "type comit"): "BAD_TYPE", tag.replace("object", "objekt"): "NO_OBJECT", tag.replace("<a@b>", "<a@b"): "BAD_EMAIL", tag.replace("+0000\n", "+00\nmore x\n"): None, "object": "TOO_SHORT"}
+    for cases, fault in ((commits, checks.commit_fault), (tags, checks.tag_fault)):
+        got = spark.createDataFrame([(c,) for c in cases], "c string").select("c", fault(F.col("c")).alias("f")).collect()
+        assert {r.c: r.f for r in got} == cases
+
+
+def test_trees_as_bytes(spark):
+    rows = [("t", "100644", "a.b", "1" * 40), ("t", "40000", "a", "2" * 40), ("t", "100755", "a-", "3" * 40), ("u", "120000", "é", "4" * 40)]
+    content = checks.tree_bytes(spark.createDataFrame(rows, "tree string, mode string, name string, oid string"))
+    want = b"100755 a-\0" + b"\x33" * 20 + b"100644 a.b\0" + b"\x11" * 20 + b"40000 a\0" + b"\x22" * 20
+    assert {r.tree: bytes(r.content) for r in content.collect()}["t"] == want
+    back = checks.parse_trees(content).collect()
+    assert [(r.mode, bytes(r.name).decode(), r.oid[0]) for r in sorted(back, key=lambda r: (r.tree, r.ord))] == [(0o100755, "a-", "3"), (0o100644, "a.b", "1"), (0o40000, "a", "2"), (0o120000, "é", "4")]
