@@ -181,7 +181,9 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size
     ids = rows.select("row", F.col("rec")[id_col].alias("id")).where("id is not null")
     named = ids.join(labels.hint("merge"), F.col("row") == F.col("at")).select("row", "id", "label")
     stays = named.groupBy("label").agg(F.min(F.struct("id", "row")).alias("best"), F.count("*").alias("many")).where("many > 1")
-    gone = named.join(stays.select("label", F.col("best.row").alias("best")), "label").where("row <> best").select(F.col("row").alias("at"))
+    # written, so that the join meets two plain exchanges and a label with most rows can be split
+    stays = materialize(stays.select("label", F.col("best.row").alias("best")), "stays")
+    gone = named.join(stays, "label").where("row <> best").select(F.col("row").alias("at"))
     # merged at every size: who goes grows with the texts, so it is never broadcast
     kept = rows.join(gone.hint("merge"), F.col("row") == F.col("at"), "left_anti")
     return kept.select(*(F.col("rec")[c].alias(c) for c in df.columns))
