@@ -283,6 +283,16 @@ def test_similar_texts(spark):
     assert sorted(r.doc_id for r in got.collect()) == smallest_of_groups(rows)
 
 
+def test_similar_texts_with_a_repeated_phrase(spark):
+    rng = np.random.default_rng(3)
+    rows = []
+    for k in range(20):
+        own = [f"w{k}" for k in rng.integers(0, 100_000, 1000)]
+        rows += [(2 * k, " ".join(own)), (2 * k + 1, " ".join(own + own[500:510] * 80))]
+    got = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r.doc_id for r in got.collect()) == smallest_of_groups(rows) == [2 * k for k in range(20)]
+
+
 def test_pipeline(spark):
     docs = registry.table(spark, SF, "documents").cache()
     names = docs.columns
