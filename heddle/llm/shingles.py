@@ -27,7 +27,8 @@ def of_hashes(h: np.ndarray) -> int:
     return int(np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0])
 
 
-def _find(root: dict[int, int], x: int) -> int:
+def find(root: dict[int, int], x: int) -> int:
+    """The root of ``x``'s tree."""
     while root.setdefault(x, x) != x:
         root[x] = root[root[x]]
         x = root[x]
@@ -39,7 +40,7 @@ def forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
     root: dict[int, int] = {}
     out = []
     for x, y in zip(a.tolist(), b.tolist(), strict=True):
-        if (p := _find(root, x)) != (q := _find(root, y)):
+        if (p := find(root, x)) != (q := find(root, y)):
             root[p] = q
             out.append((x, y))
     return out

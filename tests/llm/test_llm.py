@@ -293,6 +293,19 @@ def test_similar_texts_with_a_repeated_phrase(spark):
     assert sorted(r.doc_id for r in got.collect()) == smallest_of_groups(rows) == [2 * k for k in range(20)]
 
 
+def test_similar_texts_among_pages_of_one_template(spark):
+    rng = np.random.default_rng(8)
+    template, rows = [f"t{k}" for k in range(404)], []
+    for k in range(200):  # pages at 0.786, and every fifth with a near copy at 0.809
+        tail = [f"w{x}" for x in rng.integers(0, 1 << 40, 54)]
+        rows.append((k, " ".join(template + tail)))
+        if k % 5 == 0:
+            rows.append((1000 + k, " ".join(template + tail[:6] + [f"w{x}" for x in rng.integers(0, 1 << 40, 48)])))
+    want = smallest_of_groups(rows)
+    got = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(5))
+    assert sorted(r.doc_id for r in got.collect()) == want == list(range(200))
+
+
 def test_pipeline(spark):
     docs = registry.table(spark, SF, "documents").cache()
     names = docs.columns
