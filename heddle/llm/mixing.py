@@ -2,12 +2,15 @@
 
 A classifier learned from a labelled table predicts for every text its
 posteriors over the domains.  A text of n tokens then holds n * p_k expected tokens of domain k,
-and rates r >= 0 (at most ``max_rate``) are sought whose totals sum(r n p_k) match
-the target weights times all tokens.  Least squares by projected gradient: with
-the residual measured in the inverse of H = sum(n p p') / sum(n), and a text's rate
-scaled by its length, one step subtracts p . H^-1 (totals - target) from each rate and projects.
-A round is one pass of K sums; rates are never stored, as they follow from the
-posteriors and the K numbers of each round before.
+and rates r >= 0 are sought whose totals sum(r n p_k) match the target weights times
+all tokens: least squares, with the residual measured in the inverse of H = sum(n p p') / sum(n),
+and of the rates that do equally well those nearest to 1 (``RIDGE`` times their
+squared distance is added).  Projected gradient from rates of 1: all steps together subtract p . g from each rate
+before it is projected, so a rate is max(0, 1 - p . g).  Steps are accelerated by
+the curvature over the texts with a positive rate, and halved where they do not descend.
+A round is one pass of sums over the posteriors; rates are never stored, as they follow from the
+posteriors and the K numbers g.  Rounds end when the gradient vanishes; if they do not, that is an
+error.  Targets that no nonnegative rates reach are warned of.
 
 The classifier takes a sample of about ``max_rows`` labelled rows by a hash of the id;
 posteriors, sums and rates take every row.
@@ -20,6 +23,7 @@ extra columns are ignored (``rates``) or kept (``mix``); texts are taken whole.
 
 from __future__ import annotations
 
+import warnings
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -35,6 +39,8 @@ from heddle.plans.durable import materialize
 _CAPITALS, _SYMBOLS, _BARS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"#*$%&<>", b"|"
 _STRIP = b".,;:!?\"'()"
 SHAPES = 7
+#: Weight of the rates' squared distance from 1 beside the squared residual.
+RIDGE = 1e-9
 
 
 def features(text: str) -> tuple[int, np.ndarray, set[bytes]]:
@@ -145,32 +151,49 @@ def with_posteriors(df: DataFrame, text_col: str, model: DomainModel) -> DataFra
     return rows.mapInArrow(run, rows.select("_row", F.lit(0).cast("long").alias("_n"), F.array().cast("array<double>").alias("_p")).schema)
 
 
-def rate(p: Column, steps: list[list[float]], max_rate: float) -> Column:
-    """The rate that the rounds so far lead to."""
-    r = F.lit(1.0)
-    for g in steps:
-        r = F.least(F.lit(max_rate), F.greatest(F.lit(0.0), r - sum(p[k] * F.lit(x) for k, x in enumerate(g))))
-    return r
+def rate(p: Column, g: list[float]) -> Column:
+    """The rate that the steps so far, ``g`` in all, lead to."""
+    return F.greatest(F.lit(0.0), F.lit(1.0) - sum((p[k] * F.lit(x) for k, x in enumerate(g)), F.lit(0.0)))
 
 
-def fit_rates(rows: DataFrame, weights: list[float], max_rate: float, rounds: int = 25, tolerance: float = 1e-7) -> list[list[float]]:
-    """The steps of the projected gradient; ``rows``: _n, _p."""
+def fit_rates(rows: DataFrame, weights: list[float], rounds: int = 1000, tolerance: float = 1e-9) -> list[float]:
+    """The sum of the projected gradient's steps; ``rows``: _n, _p."""
     k = len(weights)
-    each = [F.sum(F.col("_n") * F.col("_p")[a] * F.col("_p")[b]).alias(f"h{a}_{b}") for a in range(k) for b in range(k)]
-    got = rows.agg(F.sum("_n").alias("n"), *each).first()
-    if not got.n:
+    p, n, r = F.col("_p"), F.col("_n"), F.col("_r")
+    cells = [(a, b) for a in range(k) for b in range(a, k)]
+    sums = [F.sum(n), F.sum(n * r * r), *(F.sum(n * p[a] * r) for a in range(k)), *(F.sum(F.when(r > 0, n * p[a] * p[b]).otherwise(0.0)) for a, b in cells)]
+
+    def measure(g: np.ndarray) -> tuple[float, np.ndarray, np.ndarray] | None:
+        """Half the mean square of the rates, the totals, and the curvature over positive rates."""
+        got = rows.withColumn("_r", rate(p, [float(x) for x in g])).agg(*(s.alias(f"s{i}") for i, s in enumerate(sums))).first()
+        if not got[0]:
+            return None
+        values, curve = np.array(got[1:], float) / got[0], np.zeros((k, k))
+        for (a, b), x in zip(cells, values[1 + k :], strict=True):
+            curve[a, b] = curve[b, a] = x
+        return values[0] / 2, values[1 : 1 + k], curve
+
+    g, want = np.zeros(k), np.array(weights) / sum(weights)
+    at = measure(g)
+    if at is None:
         return []
-    curve = np.array([got[f"h{a}_{b}"] for a in range(k) for b in range(k)]).reshape(k, k) / got.n
-    inverse = np.linalg.inv(curve + 1e-6 * np.trace(curve) * np.eye(k))
-    want, steps = np.array(weights) / sum(weights), []
-    for _ in range(rounds):
-        r = rate(F.col("_p"), steps, max_rate)
-        have = np.array(rows.agg(*(F.sum(F.col("_n") * F.col("_p")[a] * r) for a in range(k))).first()) / got.n
-        step = inverse @ (have - want)
-        if np.abs(have - want).max() < tolerance or np.abs(step).max() < tolerance:
-            break
-        steps.append([float(x) for x in step])
-    return steps
+    whole = at[2] + 1e-6 * np.trace(at[2]) * np.eye(k)
+    loss = lambda at, g: at[0] + want @ g + RIDGE / 2 * g @ whole @ g
+    done = 1
+    while np.abs(left := at[1] - want - RIDGE * whole @ g).max() >= tolerance:
+        step = np.linalg.solve(at[2] + RIDGE * whole, left)
+        share = 1.0
+        while True:
+            if done == rounds:
+                raise RuntimeError(f"rates have not converged in {rounds} rounds: {np.abs(left).max()} is left")
+            ahead, done = measure(g + share * step), done + 1
+            if loss(ahead, g + share * step) <= loss(at, g) - 1e-4 * share * (left @ step) + 1e-14:
+                break
+            share /= 2
+        g, at = g + share * step, ahead
+    if np.abs(at[1] - want).max() > 1e-3:
+        warnings.warn(f"no nonnegative rates reach the targets {want.tolist()}; nearest: {at[1].tolist()}", stacklevel=2)
+    return [float(x) for x in g]
 
 
 def targets_for(model: DomainModel, targets: dict[str, float]) -> list[float]:
@@ -185,26 +208,26 @@ def copies(r: Column, id_col: Column, text: Column) -> Column:
     return (F.floor(r) + (draw < r - F.floor(r)).cast("long")).cast("long")
 
 
-def rates(df: DataFrame, labels: DataFrame, domain: Column, targets: dict[str, float], id_col: str = "doc_id", text_col: str = "text", max_rows: int = 4000, max_rate: float = 4.0) -> DataFrame:
+def rates(df: DataFrame, labels: DataFrame, domain: Column, targets: dict[str, float], id_col: str = "doc_id", text_col: str = "text", max_rows: int = 4000) -> DataFrame:
     """Id, n_tokens, domain posteriors, rate and copies for each row."""
     model = learn(df, labels, domain, id_col, text_col, max_rows)
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("mark"))
     found = with_posteriors(rows, "text", model).select(F.col("_row.id").alias("id"), F.col("_row.mark").alias("mark"), "_n", "_p")
     found = materialize(found, "posteriors")
-    steps = fit_rates(found, targets_for(model, targets), max_rate)
+    steps = fit_rates(found, targets_for(model, targets))
     named = [F.col("_p")[k].alias(f"p_{d}") for k, d in enumerate(model.domains)]
-    out = found.withColumn("rate", rate(F.col("_p"), steps, max_rate))
+    out = found.withColumn("rate", rate(F.col("_p"), steps))
     return out.select(F.col("id").alias(id_col), F.col("_n").alias("n_tokens"), *named, "rate", copies(F.col("rate"), F.col("id"), F.col("mark")).alias("copies"))
 
 
-def mix(df: DataFrame, labels: DataFrame, domain: Column, targets: dict[str, float], id_col: str = "doc_id", text_col: str = "text", max_rows: int = 4000, max_rate: float = 4.0) -> DataFrame:
+def mix(df: DataFrame, labels: DataFrame, domain: Column, targets: dict[str, float], id_col: str = "doc_id", text_col: str = "text", max_rows: int = 4000) -> DataFrame:
     """The rows that the mixture takes, with ``rate`` and ``copies`` (how often each is taken)."""
     model = learn(df, labels, domain, id_col, text_col, max_rows)
     found = with_posteriors(df, text_col, model)
     sums = materialize(with_posteriors(df.select(text_col), text_col, model).select("_n", "_p"), "posteriors")
-    steps = fit_rates(sums, targets_for(model, targets), max_rate)
+    steps = fit_rates(sums, targets_for(model, targets))
     row = F.col("_row")
-    out = found.withColumn("_r", rate(F.col("_p"), steps, max_rate))
+    out = found.withColumn("_r", rate(F.col("_p"), steps))
     out = out.withColumn("_c", copies(F.col("_r"), row[id_col], F.xxhash64(row[text_col]))).where("_c > 0")
     names = [c for c in df.columns if c not in ("rate", "copies")]
     return out.select(*(row[c].alias(c) for c in names), F.col("_r").alias("rate"), F.col("_c").alias("copies"))

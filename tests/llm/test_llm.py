@@ -169,6 +169,22 @@ def test_mixing(spark):
     assert abs(share["quality1_toxic0"] - registry.TARGETS["quality1_toxic0"]) < 0.05
 
 
+@pytest.mark.parametrize("sharp, spread, reached", [(6, 1, True), (0, 1, False), (0, 0.2, False)])
+def test_rates_reach_rare_targets(spark, sharp, spread, reached):
+    rng, want = np.random.default_rng(4), np.array([0.9, 0.02, 0.07, 0.01])
+    logits = rng.normal(0, spread, (3000, 4))
+    logits[np.arange(3000), rng.choice(4, 3000, p=[0.15, 0.3, 0.5, 0.05])] += sharp
+    p, n = np.exp(logits) / np.exp(logits).sum(1, keepdims=True), rng.integers(1, 500, 3000)
+    rows = spark.createDataFrame([(int(a), b.tolist()) for a, b in zip(n, p, strict=True)], "_n long, _p array<double>").cache()
+    steps = mixing.fit_rates(rows, want.tolist())
+    r = np.array([x.r for x in rows.select("_p", mixing.rate(F.col("_p"), steps).alias("r")).toLocalIterator()])
+    have = (n * r) @ p / n.sum()
+    assert (np.abs(have - want).max() < 1e-4) == reached
+    # no text's rate can be moved to lessen the squared residual (in the inverse of the curvature)
+    slope = p @ np.linalg.solve((p * n[:, None]).T @ p / n.sum(), have - want)
+    assert (r >= 0).all() and slope.min() > -1e-3 and np.abs(slope * (r > 0)).max() < 1e-3
+
+
 def test_quality(spark):
     assert_same(registry.op7_quality_rules(spark, SF), registry.ORACLE_SQL["op7_quality_rules"], SF)
     x = registry.op7_quality_rules(spark, SF).toPandas().merge(registry.table(spark, SF, "labels").toPandas(), on="doc_id")
