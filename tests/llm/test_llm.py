@@ -267,6 +267,52 @@ def test_surrogates(spark):
     assert len({got[k] for k in range(3, 203)}) == 200
 
 
+def test_surrogates_against_brute_force(spark):
+    """Entities found by the same patterns in Python: what lies between them stays, and surrogates pair off one to one."""
+    import regex
+
+    rows = [(r.doc_id, r.text) for r in registry.table(spark, SF, "documents").collect()]
+    rows += [(10**6 + k, t) for k, t in enumerate(["Dr. Ada Stone, Mrs. Stone and Mr. O'Brien-Smith", "Г-жа Анна Белова, Г-н Белова; IP 10.0.0.1, 10.0.0.2 10.0.0.1", "x@y.zz; q@y.zz; X@Y.ZZ; 123-45-6789; DE44 5001 0517 5407 3249 31; DE44500105175407324931"])]
+    found = {r.doc_id: r for r in surrogates.surrogates(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()}
+    pairs, titles = {}, tuple(surrogates._MALE.split("|") + surrogates._FEMALE.split("|") + ["Dr.", "Prof."])
+    for i, text in rows:
+        entities = [m[0] for m in regex.finditer(surrogates.ANY, text or "")]
+        between = regex.split(surrogates.ANY, text or "")
+        assert found[i].n_entities == len(entities)
+        got = regex.fullmatch("(.+?)".join(map(regex.escape, between)), found[i].text or "", regex.DOTALL)
+        for old, new in zip(entities, got.groups(), strict=True):
+            if old.startswith(titles):
+                (title, *old_words), (new_title, *new_words) = old.split(" "), new.split(" ")
+                assert title == new_title and len(old_words) == len(new_words)
+                for k, (a, b) in enumerate(zip(old_words, new_words, strict=True)):
+                    pairs.setdefault(("family" if k == len(old_words) - 1 else "given", a.lower()), set()).add(b.lower())
+            else:
+                plain = lambda t: t.lower() if "@" in t or t.count(".") == 3 else regex.sub("[^0-9A-Za-z]", "", t)
+                pairs.setdefault(("other", plain(old)), set()).add(plain(new))
+    assert len(pairs) > 20 and not {k: v for k, v in pairs.items() if len(v) > 1}
+    taken = [(k[0], next(iter(v))) for k, v in pairs.items()]
+    assert len(set(taken)) == len(taken) and not set(taken) & set(pairs)
+
+
+def test_more_names_than_a_list_holds(spark):
+    letters = F.translate(F.col("doc_id").cast("string"), "0123456789", "абвгдежзик")
+    df = spark.range(30_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("Г-н "), F.initcap(letters), F.lit("о")).alias("text"))
+    got = surrogates.surrogates(df, "k").agg(F.count_distinct("text").alias("n"), F.sum("n_entities").alias("m")).first()
+    assert (got.n, got.m) == (30_000, 30_000)
+
+
+@pytest.mark.parametrize("text, n", [("a@b" + ".c" * 500_000, 1), ("1 2-3." * 170_000, 0), ("Mr. Ab " * 5_000, 5_000), ("+1 (988) 555-2485 " * 5_000, 5_000), ("x@" * 300_000, 0)])
+def test_long_texts_dense_with_entities(spark, text, n):
+    got = surrogates.surrogates(spark.createDataFrame([(1, text)], "doc_id long, text string"), "k").first()
+    assert got.n_entities == n and (n == 0) == (got.text == text)
+
+
+def test_surrogates_of_awkward_rows(spark):
+    df = spark.createDataFrame([(*r, "x") for r in AWKWARD], SCHEMA + ", _row string")
+    got = surrogates.replace(df, "k")
+    assert got.columns == df.columns and sorted(map(str, got.collect())) == sorted(map(str, df.collect()))
+
+
 def smallest_of_groups(rows, size=5, similarity=0.8):
     """Brute force: the smallest id of each group linked by the share of shingles in common."""
     sets = []
