@@ -36,48 +36,61 @@ HEX = "[0-9a-f]{24,}"
 #: Kinds in the order in which they are listed; those after the third are added by the method.
 KINDS = ["assign", "access", "hex", "pem", "jwt", "github", "google", "slack", "url", "mixed"]
 MORE = {
-    "pem": r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----[A-Za-z0-9+/=\x20\n\r]{0,20000}-----END [A-Z ]{0,20}PRIVATE KEY-----",
+    "pem": r"-----BEGIN [A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?-----(?:[^-]|-(?!----(?:BEGIN|END) ))*+-----END [A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?-----",
     "jwt": r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]++",
     "github": r"gh[pousr]_[A-Za-z0-9]{36,}",
     "google": r"AIza[0-9A-Za-z_-]{35}",
     "slack": r"xox[abprs]-[0-9A-Za-z-]{10,}",
-    "url": r"(?<![a-z0-9])[a-z][a-z0-9+.-]{1,20}://[^\x20\x09-\x0D/:@]{1,100}:[^\x20\x09-\x0D/@]{1,100}@",
+    "url": r"(?<![a-z0-9])[a-z][a-z0-9+.-]{1,20}://[^\x20\x09-\x0D/:@]++:[^\x20\x09-\x0D/@]++@",
     "mixed": r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{32,}+=*+",
 }
+#: Numbers that are summed at a time.
+PART = 128
 PLACEHOLDER = r"(?i)example|changeme|placeholder|dummy|redacted|your[-_]?(?:token|key|secret|password)|^(.)\1+$|^x{4,}|<|\*{3}"
 
 
-def matches(text: Column, pattern: str, keep: Callable[[Column], Column], group: int = 0) -> Column:
+def summed(sizes: Column, start: Column) -> Column:
+    """The sums of ``start`` and the numbers before each place, one more than there are numbers."""
+    none = F.array(start.cast("int"))
+    return F.aggregate(sizes, none, lambda sums, n: F.array_append(sums, F.element_at(sums, -1) + n))
+
+
+def ends(sizes: Column) -> Column:
+    """Running sums in parts of ``PART`` numbers: an array grows by copying, so no array grows long."""
+    parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(sizes) - 1) / PART).cast("int")), lambda k: F.slice(sizes, k * PART + 1, F.lit(PART)))
+
+    def within(m: Column) -> Column:
+        before = F.transform(F.array(summed(F.transform(m, lambda part: F.aggregate(part, F.lit(0), lambda a, n: a + n)), F.lit(0))), lambda b: F.transform(m, lambda part, k: F.slice(summed(part, F.get(b, k)), F.lit(2), F.size(part))))
+        return F.flatten(before[0])
+
+    return F.transform(F.array(parts), within)[0]
+
+
+def matches(text: Column, pattern: str, keep: Callable[[Column], Column] | None = None, group: int = 0) -> Column:
     """Spans of the leftmost non-overlapping matches: array of (start, end, value), code points.
 
     ``group``: the value; a match is dropped unless its value passes ``keep``.
-    Places follow from the lengths of the matches and of the text between them.
+    Places follow from the lengths of the matches and of the text between them.  A match ends where its
+    text does, so the pattern finds the same group again in the match alone; no pattern may look beyond
+    that where ``group`` is given.
     """
-    kind = "struct<at:int,out:array<struct<start:int,end:int,value:string>>>"
-    none = F.struct(F.lit(0).alias("at"), F.array().alias("out")).cast(kind)
+    kind = "array<struct<start:int,end:int,value:string>>"
 
     def places(m: Column) -> Column:
-        def step(acc: Column, k: Column) -> Column:
-            start = acc["at"] + F.length(F.get(m["between"], k))
-            end = start + F.length(F.get(m["whole"], k))
-            value = F.get(m["value"], k)
-            one = F.struct(start.alias("start"), end.alias("end"), value.alias("value"))
-            return F.struct(end.alias("at"), F.when(keep(value), F.array_append(acc["out"], one)).otherwise(acc["out"]).alias("out")).cast(kind)
-
-        return F.aggregate(F.sequence(F.lit(0), F.size(m["whole"]) - 1), none, step)["out"]
-
-    whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    value = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    found = F.struct(whole.alias("whole"), value.alias("value"), F.split(text, pattern, -1).alias("between"))
+        steps = F.transform(m["whole"], lambda w, k: F.length(F.get(m["between"], k)) + F.length(w))
+        stops = F.transform(F.array(F.struct(m["whole"].alias("whole"), ends(steps).alias("ends"))), lambda x: F.transform(x["whole"], lambda w, k: F.struct((F.get(x["ends"], k) - F.length(w)).alias("start"), F.get(x["ends"], k).alias("end"), (F.regexp_extract(w, pattern, group) if group else w).alias("value"))))[0]
+        return stops if keep is None else F.filter(stops, lambda s: keep(s["value"]))
+
+    found = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("whole"), F.split(text, pattern, -1).alias("between"))
     # the array of one binds what the lambda then reads again and again
-    return F.when(text.rlike(pattern), F.transform(F.array(found), places)[0]).otherwise(none["out"])
+    return F.when(text.rlike(pattern), F.transform(F.array(found), places)[0]).otherwise(F.array().cast(kind))
 
 
 def candidates(text: Column) -> dict[str, Column]:
     """An array of (start, end, value) for each kind."""
-    out = {"assign": matches(text, ASSIGN, lambda v: F.length(v) >= 6, group=2), "access": matches(text, ACCESS, lambda v: F.lit(True)), "hex": matches(text, HEX, lambda v: F.lit(True))}
+    out = {"assign": matches(text, ASSIGN, lambda v: F.length(v) >= 6, group=2), "access": matches(text, ACCESS), "hex": matches(text, HEX)}
     mixed = lambda v: v.rlike("[0-9]") & v.rlike("[A-Z]") & v.rlike("[a-z]")
-    return out | {k: matches(text, p, mixed if k == "mixed" else lambda v: F.lit(True)) for k, p in MORE.items()}
+    return out | {k: matches(text, p, mixed if k == "mixed" else None) for k, p in MORE.items()}
 
 
 def _found(text: Column) -> Column:
