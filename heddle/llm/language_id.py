@@ -20,6 +20,7 @@ columns are ignored; texts are taken whole.
 from __future__ import annotations
 
 import re
+import sys
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -33,7 +34,9 @@ from pyspark.sql import functions as F
 from heddle.llm.arrow import slices, texts_of
 
 UNKNOWN = "und"
-_WORDS = re.compile(r"[^\W\d_]+")
+#: What ``\w`` takes beside letters, digits and the underscore: fractions, superscripts, numbers in circles and such.
+_NUMERIC = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+_WORDS = re.compile(rf"[^\W\d_{_NUMERIC}]+")
 MEMO_WORDS = 200_000
 
 
