@@ -12,7 +12,8 @@ A round is one pass of sums over the posteriors; rates are never stored, as they
 posteriors and the K numbers g.  Rounds end when the gradient vanishes; if they do not, that is an
 error.  Targets that no nonnegative rates reach are warned of.
 
-The classifier takes a sample of about ``max_rows`` labelled rows by a hash of the id;
+The classifier takes a sample of about ``max_rows`` labelled rows by a hash of the id and
+the ``top_words`` most telling words among all of theirs;
 posteriors, sums and rates take every row.
 
 Defined results: null text has no tokens and gets the posteriors of such a text; rows of the labelled
@@ -24,7 +25,6 @@ extra columns are ignored (``rates``) or kept (``mix``); texts are taken whole.
 from __future__ import annotations
 
 import warnings
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -72,22 +72,25 @@ class DomainModel:
         return n, e / e.sum()
 
 
-def fit(rows: list[tuple[str, list[float], list[bytes]]], top_words: int = 400, least: int = 5, steps: int = 400, decay: float = 1e-3) -> DomainModel:
-    """Words are chosen by how far their frequency in a domain departs from that in the rest."""
+def telling(rows: DataFrame, size: dict[str, int], top_words: int, least: int) -> list[bytes]:
+    """The words whose frequency in a domain departs most from that in all rows (id, domain, shape, words)."""
+    if not size:
+        return []
+    n, domains = sum(size.values()), sorted(size)
+    seen = [F.count_if(F.col("domain") == d).alias(f"n{k}") for k, d in enumerate(domains)]
+    words = rows.select("domain", F.explode("words").alias("w")).where("w <> cast('' as binary)").groupBy("w").agg(F.count("*").alias("n"), *seen).where(F.col("n") >= least)
+    expected = [F.col("n") * F.lit(size[d] / n) for d in domains]
+    gain = [(F.col(f"n{k}") - e) * (F.col(f"n{k}") - e) / (e + 0.5) for k, e in enumerate(expected)]
+    words = words.withColumn("gain", F.greatest(*gain, F.lit(0.0))).where("gain > 15")
+    return [bytes(r.w) for r in words.orderBy(F.desc("gain"), "w").limit(top_words).collect()]
+
+
+def fit(rows: list[tuple[str, list[float], list[bytes]]], chosen: list[bytes], steps: int = 400, decay: float = 1e-3) -> DomainModel:
+    """Softmax regression on (domain, shape, words); ``chosen``: the words whose presence counts."""
     domains = tuple(sorted({r[0] for r in rows}))
     if not domains:
         return DomainModel(("all",), {}, np.zeros(SHAPES), np.ones(SHAPES), np.zeros((1 + SHAPES, 1)))
     truth = np.array([domains.index(r[0]) for r in rows])
-    size = np.bincount(truth, minlength=len(domains))
-    inside = [Counter(w for r, t in zip(rows, truth, strict=True) if t == k for w in r[2]) for k in range(len(domains))]
-    total = sum(inside, Counter())
-    gain: dict[bytes, float] = {}
-    for word, n in total.items():
-        if n >= least:
-            expected = n * size / len(rows)
-            seen = np.array([c[word] for c in inside])
-            gain[word] = float(((seen - expected) ** 2 / (expected + 0.5)).max())
-    chosen = sorted((w for w in gain if gain[w] > 15), key=lambda w: (-gain[w], w))[:top_words]
     words = {w: k for k, w in enumerate(chosen)}
     shapes = np.array([r[1] for r in rows])
     mean, scale = shapes.mean(0), shapes.std(0) + 1e-3
@@ -107,13 +110,13 @@ def fit(rows: list[tuple[str, list[float], list[bytes]]], top_words: int = 400,
     return DomainModel(domains, words, mean, scale, w)
 
 
-def learn(df: DataFrame, labels: DataFrame, domain: Column, id_col: str, text_col: str, max_rows: int) -> DomainModel:
-    """Join the sampled labels to their texts and fit on their features."""
+def learn(df: DataFrame, labels: DataFrame, domain: Column, id_col: str, text_col: str, max_rows: int, top_words: int = 400, least: int = 5) -> DomainModel:
+    """Join the sampled labels to their texts and fit on their shapes and the ``top_words`` most telling words met in ``least`` texts."""
     spread = F.pmod(F.xxhash64(F.lit("mixing"), F.col(id_col)), F.lit(1 << 30))
     known = labels.select(F.col(id_col), domain.alias("domain")).where(F.col(id_col).isNotNull() & F.col("domain").isNotNull())
     n = known.count()
     if not n:
-        return fit([])
+        return fit([], [])
     cut = int((1 << 30) * min(1.0, max_rows / n))
     known = known.where(spread < cut).select(F.col(id_col).alias("key"), "domain")
     texts = df.where(spread < cut).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -128,12 +131,12 @@ def learn(df: DataFrame, labels: DataFrame, domain: Column, id_col: str, text_co
 
     kind = df.schema[id_col].dataType.simpleString()
     rows = texts.join(known, F.col("id") == F.col("key")).select("id", "domain", "text").mapInArrow(run, f"id {kind}, domain string, shape array<double>, words array<binary>")
-    # a word met in one sampled text tells nothing
-    often = rows.select(F.explode("words").alias("w")).groupBy("w").count().where("count >= 5").where("w <> cast('' as binary)")
     rows = materialize(rows, "labelled")
-    often = {bytes(r.w) for r in often.orderBy(F.desc("count"), "w").limit(20_000).collect()}
-    got = rows.orderBy("id", "domain").toLocalIterator()
-    return fit([(r.domain, r.shape, [bytes(w) for w in r.words if bytes(w) in often]) for r in got])
+    size = {r.domain: r["count"] for r in rows.groupBy("domain").count().collect()}
+    chosen = telling(rows, size, top_words, least)
+    known = F.filter("words", lambda w: w.isin(*map(F.lit, chosen))) if chosen else F.array().cast("array<binary>")
+    got = rows.orderBy("id", "domain").select("domain", "shape", known.alias("words")).toLocalIterator()
+    return fit([(r.domain, r.shape, [bytes(w) for w in r.words]) for r in got], chosen)
 
 
 def with_posteriors(df: DataFrame, text_col: str, model: DomainModel) -> DataFrame:
@@ -197,7 +200,10 @@ def fit_rates(rows: DataFrame, weights: list[float], rounds: int = 1000, toleran
 
 
 def targets_for(model: DomainModel, targets: dict[str, float]) -> list[float]:
-    """Weights in the model's order; a domain without a target weighs nothing."""
+    """Weights in the model's order; a domain without a target weighs nothing, a target without a labelled domain is warned of."""
+    unknown = sorted(d for d, w in targets.items() if w and d not in model.domains)
+    if unknown and model.domains != ("all",):
+        warnings.warn(f"no labelled row is of {unknown}; their weights go to the other domains", stacklevel=2)
     found = [float(targets.get(d, 0.0)) for d in model.domains]
     return found if sum(found) else [1.0] * len(found)
 
