@@ -1,12 +1,19 @@
 """Language-model scores of texts: word frequencies and a suffix tree.
 
-Tokens are lower-cased words and one end for each text.  A first pass over the
-training texts counts the runs of bytes from which the suffix tree is grown.  A
-second pass scores every text with the tree and packs the texts of each input split into
-blocks: the block's dictionary with counts from its training texts, and each
-text as places in that dictionary.  The dictionaries are summed to corpus-wide
-counts by word, which go back to the blocks by joins on the word and then on the
-block; a frequent word has one row for each block, never one for each occurrence.
+Tokens are lower-cased words and one end for each text.  One pass packs the texts of
+each input split into blocks: the block's dictionary with counts from its training texts, each
+text as places in that dictionary, and the block's distinct byte runs with their training counts,
+dealt by hash into parts.  Then, without a task that holds more than a block, a part or a leaf:
+
+* dictionaries are summed to corpus-wide counts by word, which go back to the blocks by joins on
+  the word and then on the block; a frequent word has one row for each block, never one for
+  each occurrence;
+* runs are summed part by part to the corpus' distinct runs; those are gathered by the last bytes
+  of their contexts, the leaves in which the suffix tree is worked out (see ``suffix_tree``); and the
+  runs' probabilities go back by part to the blocks that asked for them;
+* each block scores its texts with both.
+
+Nothing is sent to all tasks but the counts of the tree's roots, at most 65,536 numbers.
 
 Defined results: null and empty texts are one end token; a null id counts as
 held out; repeated rows are scored (and learned from) each; with nothing to learn
@@ -21,7 +28,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,7 +36,11 @@ from heddle.llm.arrow import slices, texts_of, words_of
 from heddle.plans.durable import materialize
 
 BLOCK_ROWS, BLOCK_CHARS = 8192, 24_000_000
-PACKED = "block long, id {id}, held boolean, n_tokens long, places binary, times binary, score double, words array<string>, trained array<long>"
+#: Bytes of text whose runs one part holds, about.
+PART_BYTES = 100_000_000
+NAMES = ["block", "id", "held", "n_tokens", "places", "words", "trained", "part", "runs", "times"]
+PACKED = "block long, id {id}, held boolean, n_tokens long, places binary, words array<string>, trained array<long>, part int, runs binary, times binary"
+KINDS = [pa.int64(), None, pa.bool_(), pa.int64(), pa.binary(), pa.list_(pa.string()), pa.list_(pa.int64()), pa.int32(), pa.binary(), pa.binary()]
 
 
 class _Places(dict):
@@ -41,113 +51,155 @@ class _Places(dict):
         return at
 
 
-def pack(df: DataFrame, held: Column, id_col: str, text_col: str, tree: Broadcast) -> DataFrame:
-    """Rows of texts (places, times and score) and one dictionary row for each block."""
+def part_of(run: np.ndarray, parts: int) -> np.ndarray:
+    """The part of each run, by a mix of its bits."""
+    mixed = run.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return ((mixed >> np.uint64(33)) % np.uint64(parts)).astype(np.int32)
+
+
+def pack(df: DataFrame, held: Column, id_col: str, text_col: str, parts: int) -> DataFrame:
+    """For each block rows of its texts (places), one of its dictionary and one for each part of its runs."""
     kind = df.schema[id_col].dataType.simpleString()
 
+    def rows(id_kind: pa.DataType, n: int, block: int, **columns: pa.Array) -> pa.RecordBatch:
+        given = {"block": pa.array([block] * n, pa.int64())} | columns
+        return pa.RecordBatch.from_arrays([given[c] if c in given else pa.nulls(n, k or id_kind) for c, k in zip(NAMES, KINDS, strict=True)], NAMES)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, made = TaskContext.get().partitionId(), 0
-        places, trained, chars = _Places(), np.zeros(1 << 12, np.int64), 0
-        texts: list[tuple] = []
-        ids: list[pa.Array] = []
-        streams: list[bytes] = []
-        names = ["block", "id", "held", "n_tokens", "places", "times", "score", "words", "trained"]
-        kinds = [pa.int64(), None, pa.bool_(), pa.int64(), pa.binary(), pa.binary(), pa.float64(), pa.list_(pa.string()), pa.list_(pa.int64())]
+        places, trained, chars, n = _Places(), np.zeros(1 << 12, np.int64), 0, 0
+        streams: tuple[list[bytes], list[bytes]] = ([], [])
 
         def flush() -> Iterator[pa.RecordBatch]:
-            nonlocal places, trained, texts, ids, chars, made, streams
+            nonlocal places, trained, chars, made, streams, n
             block = (task << 32) + made
-            id_kind = ids[0].type
-            rows = [pa.concat_arrays(ids), *(pa.array(x, k) for x, k in zip(zip(*texts, strict=True), kinds[2:6], strict=True))]
-            n = len(texts)
-            yield pa.RecordBatch.from_arrays([pa.array([block] * n, kinds[0]), *rows, pa.array(tree.value.score(streams)), pa.nulls(n, kinds[7]), pa.nulls(n, kinds[8])], names)
             words = [w.decode("utf-8", "replace") for w in places]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([block], kinds[0]), pa.nulls(1, id_kind), *(pa.nulls(1, k) for k in kinds[2:7]), pa.array([words], kinds[7]), pa.array([trained[: len(words)]], kinds[8])], names
-            )
-            places, trained, texts, ids, streams, chars, made = _Places(), np.zeros(1 << 12, np.int64), [], [], [], 0, made + 1
+            yield rows(id_kind, 1, block, words=pa.array([words], KINDS[5]), trained=pa.array([trained[: len(words)]], KINDS[6]))
+            code, times = suffix_tree.count_runs([(streams[0], 1), (streams[1], 0)])
+            of = part_of(code, parts)
+            for k in np.unique(of).tolist():
+                own = of == k
+                yield rows(id_kind, 1, block, part=pa.array([k], KINDS[7]), runs=pa.array([code[own].tobytes()], KINDS[8]), times=pa.array([times[own].astype("<u4").tobytes()], KINDS[9]))
+            places, trained, streams, chars, n, made = _Places(), np.zeros(1 << 12, np.int64), ([], []), 0, 0, made + 1
 
         for whole in batches:
             for batch in slices(whole, 500):
-                ids.append(batch.column("id"))
+                id_kind, texts = batch.column("id").type, []
                 for text, out in zip(texts_of(batch), batch.column("held").to_pylist(), strict=True):
                     words = words_of(text)
-                    at, times = np.unique(np.fromiter(map(places.__getitem__, words), np.int64, len(words)), return_counts=True)
+                    at = np.fromiter(map(places.__getitem__, words), np.int64, len(words))
                     if len(places) > len(trained):
                         trained = np.concatenate([trained, np.zeros(max(len(trained), len(places)), np.int64)])
                     if not out:
-                        trained[at] += times
+                        trained += np.bincount(at, minlength=len(trained))
                     chars += len(text)
-                    streams.append(suffix_tree.stream(words))
-                    texts.append((out, len(words) + 1, np.diff(at, prepend=0).astype("<u4").tobytes(), times.astype("<u4").tobytes()))
-                if len(texts) >= BLOCK_ROWS or chars >= BLOCK_CHARS:
+                    streams[out].append(suffix_tree.stream(words))
+                    texts.append((len(words) + 1, at.astype("<u4").tobytes()))
+                n += len(texts)
+                n_tokens, packed = zip(*texts, strict=True)
+                yield rows(id_kind, len(texts), (task << 32) + made, id=batch.column("id"), held=batch.column("held"), n_tokens=pa.array(n_tokens, KINDS[3]), places=pa.array(packed, KINDS[4]))
+                if n >= BLOCK_ROWS or chars >= BLOCK_CHARS:
                     yield from flush()
-        if texts:
+        if n:
             yield from flush()
 
-    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), held.alias("held"))
-    return rows.mapInArrow(run, PACKED.format(id=kind))
+    given = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), held.alias("held"))
+    return given.mapInArrow(run, PACKED.format(id=kind))
 
 
-def learn_tree(df: DataFrame, held: Column, text_col: str, p_min: float, max_cells: int) -> suffix_tree.SuffixTree:
-    """The suffix tree of the texts that are not held out.
+def tree(asked: DataFrame, least: int, min_gain: float) -> DataFrame:
+    """Rows (of_block, runs, logp) with the log10 probability of each run that a block asks for; asked: block, part, runs, times."""
 
-    Runs are counted in each split, summed by run and then by every suffix of it;
-    only runs of frequent contexts come to the driver, at most 256 for each of
-    ``DEPTH / p_min``.  ``p_min`` doubles until the tree's table has at most ``max_cells`` cells.
-    """
+    def gather(rows: pa.Table) -> pa.Table:
+        codes = [np.frombuffer(x, np.int64) for x in rows.column("runs").to_pylist()]
+        run, n = suffix_tree.counted(codes, [np.frombuffer(x, "<u4").astype(np.int64) for x in rows.column("times").to_pylist()])
+        ending = np.where(suffix_tree.depth_of(run) > suffix_tree.ROOTS, suffix_tree.ending(run), -1)
+        return pa.table({"part": pa.array(np.full(len(run), rows.column("part")[0].as_py()), pa.int32()), "run": run, "n": n, "ending": ending})
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = ([suffix_tree.stream(words_of(t)) for t in texts_of(part)] for b in batches for part in slices(b, 500))
-        found = suffix_tree.count_runs(parts)
-        for start in range(0, len(found[0]), 50_000):
-            yield pa.RecordBatch.from_arrays([pa.array(x[start : start + 50_000]) for x in found], ["run", "n"])
-
-    learn = df.where(~held).select(F.col(text_col).alias("text"))
-    longest = learn.mapInArrow(run, "run long, n long").groupBy("run").agg(F.sum("n").alias("n"))
-    ends = F.explode(F.sequence(F.lit(1), F.shiftright("run", 56).cast("int")))
-    shorter = F.expr("shiftleft(cast(size as long), 56) | (run & (shiftleft(1L, 8 * size) - 1))")
-    every = longest.select("run", "n", ends.alias("size")).select(shorter.alias("run"), "n").groupBy("run").agg(F.sum("n").alias("n"))
-    state = F.expr("shiftleft(shiftright(run, 56) - 1, 56) | shiftright(run & (shiftleft(1L, 56) - 1), 8)")
-    every = materialize(every.select("run", "n", state.alias("state")), "runs")
-    total = every.where("state = 0").agg(F.sum("n")).first()[0] or 0
-    states = every.groupBy("state").agg(F.sum("n").alias("total"))
-    symbols = every.where("state = 0").count() + 1
-    while states.where(F.col("total") >= p_min * total).count() * symbols > max_cells:
-        p_min *= 2
-    often = states.where((F.col("total") >= p_min * total) | (F.col("state") == 0))
-    got = every.join(often, "state", "left_semi").select("run", "n").toArrow()
-    return suffix_tree.grow(*(got.column(c).to_numpy().astype(np.int64) for c in ("run", "n")))
-
-
-def score_texts(df: DataFrame, held: Column, id_col: str = "doc_id", text_col: str = "text", p_min: float = 2e-6, max_cells: int = 8_000_000) -> DataFrame:
-    """Id, held_out, n_tokens, n_known, train_tokens, base_score and score for each row."""
+    distinct = materialize(asked.groupBy("part").applyInArrow(gather, "part int, run long, n long, ending long"), "runs")
+    last = distinct.groupBy(F.col("run").bitwiseAND((1 << 8 * (suffix_tree.ROOTS + 1)) - 1).alias("run")).agg(F.sum("n").alias("n")).toArrow()
+    sent = asked.sparkSession.sparkContext.broadcast(suffix_tree.roots(*(last.column(c).to_numpy().astype(np.int64) for c in ("run", "n"))))
+
+    def leaf(rows: pa.Table) -> pa.Table:
+        run, base = rows.column("run").to_numpy(), sent.value
+        if rows.column("ending")[0].as_py() < 0:
+            p = np.log10(base["p"][np.searchsorted(base["run"], run & np.int64((1 << 8 * (suffix_tree.ROOTS + 1)) - 1))])
+        else:
+            order = np.argsort(run)
+            p = np.empty(len(run))
+            p[order] = suffix_tree.probabilities(run[order], rows.column("n").to_numpy()[order], base, least, min_gain)
+        return pa.table({"part": rows.column("part"), "run": run, "logp": p.astype(np.float32)})
+
+    told = distinct.groupBy("ending").applyInArrow(leaf, "part int, run long, logp float")
+
+    def answer(left: pa.Table, right: pa.Table) -> pa.Table:
+        run = right.column("run").to_numpy()
+        order = np.argsort(run)
+        run, p = run[order], right.column("logp").to_numpy()[order]
+        found = [p[np.searchsorted(run, np.frombuffer(x, np.int64))].astype("<f4").tobytes() for x in left.column("runs").to_pylist()]
+        return pa.table({"of_block": left.column("block"), "runs": left.column("runs"), "logp": pa.array(found, pa.binary())})
+
+    return asked.select("block", "part", "runs").groupBy("part").cogroup(told.groupBy("part")).applyInArrow(answer, "of_block long, runs binary, logp binary")
+
+
+def scores(streams: list[bytes], run: np.ndarray, logp: np.ndarray) -> np.ndarray:
+    """The sum of the log10 probabilities of each stream's runs; ``run`` in order."""
+    total, size = np.zeros(len(streams)), np.array([len(s) for s in streams])
+    stop, done = np.cumsum(size), 0
+    for window in suffix_tree.runs(streams):
+        p = logp[np.searchsorted(run, window)].astype(np.float64)
+        ahead = done + len(p)
+        first, last = np.searchsorted(stop, done, "right"), np.searchsorted(stop, ahead - 1, "right")
+        cuts = np.maximum(stop[first:last] - done, 0)
+        total[first : last + 1] += np.add.reduceat(p, np.concatenate([[0], cuts]))
+        done = ahead
+    return total
+
+
+def score_texts(df: DataFrame, held: Column, id_col: str = "doc_id", text_col: str = "text", least: int = 4, min_gain: float = 5.0) -> DataFrame:
+    """Id, held_out, n_tokens, n_known, train_tokens, base_score and score for each row.
+
+    A context is a state of the tree if it occurred ``least`` times and diverges by ``min_gain`` nats in all.
+    """
     kind = df.schema[id_col].dataType.simpleString()
-    tree = df.sparkSession.sparkContext.broadcast(learn_tree(df, held, text_col, p_min, max_cells))
-    packed = materialize(pack(df, held, id_col, text_col, tree), "packed")
-    texts = packed.where("words is null")
+    size = df.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    packed = materialize(pack(df, held, id_col, text_col, 1 + size // PART_BYTES), "packed")
+    texts = packed.where("part is null").select("block", "id", "held", "n_tokens", "places", "words")
     entries = packed.where("words is not null").select("block", F.posexplode(F.arrays_zip("words", "trained")).alias("place", "e"))
     entries = entries.select("block", "place", F.col("e.words").alias("word"), F.col("e.trained").alias("c"))
     counts = materialize(entries.groupBy("word").agg(F.sum("c").alias("c")), "counts")
     ends = texts.where(~F.col("held")).count()
     tokens, distinct = counts.where("c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     n, v = tokens + ends, distinct + (ends > 0)
-    back = entries.select("block", "place", "word").join(counts, "word").select(F.col("block").alias("of_block"), "place", "c")
+    back = entries.select("block", "place", "word").join(counts.hint("merge"), "word").select(F.col("block").alias("of_block"), "place", "c")
+    told = tree(packed.where("part is not null").select("block", "part", "runs", "times"), least, min_gain)
+    nothing = F.lit(None).cast("binary")
+    back = back.select("of_block", "place", "c", nothing.alias("runs"), nothing.alias("logp")).unionByName(told.select("of_block", F.lit(None).cast("int").alias("place"), F.lit(None).cast("long").alias("c"), "runs", "logp"))
 
     def total(left: pa.Table, right: pa.Table) -> pa.Table:
-        place = right.column("place").to_numpy()
-        c = np.zeros(len(place), np.int64)
-        c[place] = right.column("c").to_numpy()
-        base, known = np.log10((c + 0.1) / (n + 0.1 * (v + 1))), (c > 0).astype(np.int64)
+        is_dictionary, is_word = left.column("words").is_valid(), right.column("place").is_valid()
+        dictionary = [w.encode("utf-8", "surrogatepass") for w in left.filter(is_dictionary).column("words")[0].as_py()]
+        left, found, asked = left.filter(left.column("words").is_null()), right.filter(is_word), right.filter(right.column("place").is_null())
+        c = np.zeros(len(dictionary), np.int64)
+        c[found.column("place").to_numpy()] = found.column("c").to_numpy()
+        base, known = np.log10((c + 0.1) / (n + 0.1 * (v + 1))), c > 0
         end = float(np.log10((ends + 0.1) / (n + 0.1 * (v + 1))))
-        known_n, base_score = [], []
-        for places, times in zip(left.column("places").to_pylist(), left.column("times").to_pylist(), strict=True):
-            at, k = np.cumsum(np.frombuffer(places, "<u4").astype(np.int64)), np.frombuffer(times, "<u4").astype(np.int64)
-            known_n.append(int(known[at] @ k) + (ends > 0))
-            base_score.append(float(base[at] @ k) + end)
+        runs = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(x, np.int64) for x in asked.column("runs").to_pylist())])
+        logp = np.concatenate([np.zeros(0, np.float32), *(np.frombuffer(x, "<f4") for x in asked.column("logp").to_pylist())])
+        order = np.argsort(runs)
+        runs, logp = runs[order], logp[order]
+        known_n, base_score, score = [], [], []
+        for batch in left.select(["places"]).to_batches(max_chunksize=500):
+            streams = []
+            for places in batch.column("places").to_pylist():
+                at = np.frombuffer(places, "<u4").astype(np.int64)
+                known_n.append(int(known[at].sum()) + (ends > 0))
+                base_score.append(float(base[at].sum()) + end)
+                streams.append(suffix_tree.stream([dictionary[k] for k in at.tolist()]))
+            score.append(scores(streams, runs, logp))
         return pa.table(
-            {"id": left.column("id"), "held_out": left.column("held"), "n_tokens": left.column("n_tokens"), "n_known": pa.array(known_n, pa.int64()), "train_tokens": pa.array([n] * len(known_n), pa.int64()), "base_score": pa.array(base_score, pa.float64()), "score": left.column("score")}
+            {"id": left.column("id"), "held_out": left.column("held"), "n_tokens": left.column("n_tokens"), "n_known": pa.array(known_n, pa.int64()), "train_tokens": pa.array([n] * len(known_n), pa.int64()), "base_score": pa.array(base_score, pa.float64()), "score": pa.array(np.concatenate([np.zeros(0), *score]))}
         )
 
-    grouped = texts.select("block", "id", "held", "n_tokens", "places", "times", "score").groupBy("block").cogroup(back.groupBy("of_block"))
-    return grouped.applyInArrow(total, f"id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double").withColumnRenamed("id", id_col)
+    out = texts.groupBy("block").cogroup(back.groupBy("of_block")).applyInArrow(total, f"id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return out.withColumnRenamed("id", id_col)

@@ -1,29 +1,33 @@
-"""A probabilistic suffix tree over the bytes of texts.
+"""A probabilistic suffix tree over the bytes of texts, worked out in pieces.
 
 A text is the stream of its lower-cased words, each followed by a space, and a
 line feed at its end.  The context of a byte is what precedes it, at most
-``DEPTH`` bytes and not beyond the text's start, where a space stands.  A context
-becomes a state of the tree if it is frequent (its share of all bytes is ``p_min``
-or more, so that there are at most ``DEPTH / p_min``) and its next-byte
-distribution diverges from that of its longest proper suffix; the
-substrings of such contexts are states as well, so that the longest suffix state
-can be followed from byte to byte.  Each distribution is smoothed with that of the
-next shorter state, down to the uniform one: the probabilities of all texts sum
-to at most one.
+``DEPTH`` bytes and not beyond the text's start, where a space stands.  A run is a
+context with its byte.
+
+Contexts of up to ``ROOTS`` bytes are always states (at most 256 + 1 of them).  A longer one becomes a state
+if it occurred ``least`` times and its next-byte distribution diverges from that of
+its longest proper suffix, or if it is a suffix of a state.  So the tree grows
+with the texts, and no part of it is bounded by a share of them.  Each distribution is
+smoothed with that of the next shorter state, down to the uniform one, so the
+probabilities of all texts sum to at most one; a byte is scored by the longest state that its context ends in.
+
+All that a run's probability depends on are runs whose contexts end in the same ``ROOTS`` + 1 bytes,
+and the counts of the roots: a tree of any size is worked out :func:`leaf by leaf <probabilities>`.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable
-from dataclasses import dataclass
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 
-DEPTH = 5
+DEPTH, ROOTS = 5, 1
 SPACE, END = 0x20, 0x0A
 _TAG = np.int64(56)
 #: Mask of the lowest k bytes.
 _LOW = np.array([(1 << 8 * k) - 1 for k in range(DEPTH + 2)], dtype=np.int64)
+WINDOW = 1 << 20
 
 
 def stream(words: list[bytes]) -> bytes:
@@ -31,17 +35,21 @@ def stream(words: list[bytes]) -> bytes:
     return b" ".join([*words, b"\n"])
 
 
-def text_runs(streams: list[bytes]) -> np.ndarray:
-    """A run (context, then the byte) for each byte of the streams, tagged with its length."""
-    a = np.frombuffer(b"\n " + b" ".join(streams), np.uint8).astype(np.int64)
-    at = np.arange(len(a))
-    last_end = np.maximum.accumulate(np.where(a == END, at, 0))
-    depth = np.zeros(len(a), np.int64)
-    depth[1:] = np.minimum(at[:-1] - last_end[:-1], DEPTH)
-    code = a.copy()
-    for k in range(1, DEPTH + 1):
-        code[k:] |= a[:-k] << np.int64(8 * k)
-    return ((depth + 1) << _TAG | code & _LOW[depth + 1])[depth > 0]
+def runs(streams: list[bytes]) -> Iterator[np.ndarray]:
+    """The run of each byte of the streams in order, tagged with its length; a window at a time, however long a text is."""
+    whole = np.frombuffer(b"\n " + b" ".join(streams), np.uint8)
+    for start in range(1, len(whole), WINDOW):
+        first = max(0, start - DEPTH - 1)
+        a = whole[first : start + WINDOW].astype(np.int64)
+        at = np.arange(len(a))
+        last_end = np.maximum.accumulate(np.where(a == END, at, -DEPTH - 1))
+        depth = np.zeros(len(a), np.int64)
+        depth[1:] = np.minimum(at[:-1] - last_end[:-1], DEPTH)
+        code = a.copy()
+        for k in range(1, DEPTH + 1):
+            code[k:] |= a[:-k] << np.int64(8 * k)
+        own = slice(start - first, None)
+        yield ((depth + 1) << _TAG | code & _LOW[depth + 1])[own][depth[own] > 0]
 
 
 def counted(codes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -53,115 +61,81 @@ def counted(codes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarr
     return code[first], np.add.reduceat(n, first) if len(first) else n[:0]
 
 
-def count_runs(parts: Iterable[list[bytes]], fold: int = 2_000_000) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct runs of many streams and their counts, folded together as they come."""
-    codes, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    waiting: list[bytes] = []
-    size = 0
-
-    def take() -> None:
-        nonlocal waiting, size
-        run = np.sort(text_runs(waiting))
-        first = np.flatnonzero(np.diff(run, prepend=-1))
-        codes.append(run[first])
-        counts.append(np.diff(np.append(first, len(run))))
-        waiting, size = [], 0
-        if sum(map(len, codes[1:])) > len(codes[0]) + fold:
-            codes[:], counts[:] = ([x] for x in counted(codes, counts))
-
-    for streams in parts:
-        for one in streams:
-            waiting.append(one)
-            size += len(one)
-            if size > fold:
-                take()
-    if waiting:
-        take()
+def count_runs(parts: Iterable[tuple[list[bytes], int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct runs of streams and how often they occur, from lists of streams and how often each list counts (0 or 1)."""
+    codes, counts, waiting = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+    for streams, times in parts:
+        for window in runs(streams) if streams else ():
+            run = np.sort(window)
+            first = np.flatnonzero(np.diff(run, prepend=-1))
+            codes.append(run[first])
+            counts.append(times * np.diff(np.append(first, len(run))))
+            waiting += len(first)
+            if waiting > 2 * len(codes[0]) + WINDOW:
+                codes, counts = ([x] for x in counted(codes, counts))
+                waiting = 0
     return counted(codes, counts)
 
 
-@dataclass(frozen=True)
-class SuffixTree:
-    """The tree as a table: for each state and kind of byte, the log10 probability and the next state's row."""
-
-    kinds: np.ndarray  # the column of each byte
-    width: int
-    logp: np.ndarray  # flat, states x width
-    step: np.ndarray  # flat; the next state's offset
-    start: int
-    states: int
-
-    def score(self, streams: list[bytes]) -> np.ndarray:
-        """log10 probability of each stream; all are followed in step, longest first."""
-        if not streams:
-            return np.zeros(0)
-        size = np.array([len(s) for s in streams])
-        order = np.argsort(-size, kind="stable")
-        begin = (np.cumsum(size) - size)[order]
-        column = self.kinds[np.frombuffer(b"".join(streams), np.uint8)]
-        longest = size[order[0]]
-        active = len(size) - np.searchsorted(np.sort(size), np.arange(longest), side="right")
-        total, state = np.zeros(len(size)), np.full(len(size), self.start)
-        for t in range(longest):
-            k = active[t]
-            cell = state[:k] + column[begin[:k] + t]
-            total[:k] += self.logp[cell]
-            state[:k] = self.step[cell]
-        out = np.empty(len(size))
-        out[order] = total
-        return out
-
-
-def grow(code: np.ndarray, n: np.ndarray, min_gain: float = 5.0) -> SuffixTree:
-    """The tree from the counts of runs of all lengths, each suffix of a run included.
-
-    A context diverges if n * KL(context || suffix) >= ``min_gain`` nats.
+def depth_of(run: np.ndarray) -> np.ndarray:
+    return (run >> _TAG) - 1
+
+
+def ending(run: np.ndarray) -> np.ndarray:
+    """The last ``ROOTS`` + 1 bytes of the runs' contexts; runs of one leaf are worked out together."""
+    return (run >> np.int64(8)) & _LOW[ROOTS + 1]
+
+
+def roots(run: np.ndarray, n: np.ndarray) -> dict[str, np.ndarray]:
+    """The longest roots, from the counts of all runs' last ``ROOTS`` + 1 bytes (distinct, without tags)."""
+    codes, counts = zip(*(counted([run & _LOW[d + 1]], [n.astype(float)]) for d in range(ROOTS + 1)), strict=True)
+    return _levels(codes, counts, None, 0)[-1]
+
+
+def _levels(codes: Sequence[np.ndarray], counts: Sequence[np.ndarray], below: dict[str, np.ndarray] | None, first: int, least: int = 0, min_gain: float = 0.0) -> list[dict[str, np.ndarray]]:
+    """For contexts of ``first`` bytes and on: runs in order with count, their context's total, and probability.
+
+    ``below``: the level of contexts one byte shorter; without one, all contexts are states.
+    """
+    out: list[dict[str, np.ndarray]] = []
+    shorter = below
+    for d, (code, n) in enumerate(zip(codes, counts, strict=True), first):
+        contexts, owner = np.unique(code >> np.int64(8), return_inverse=True)
+        total, kinds = np.bincount(owner, n, len(contexts)), np.bincount(owner, n > 0, len(contexts))
+        level = {"run": code, "n": n, "owner": owner, "total": total[owner], "share": (kinds / np.maximum(total + kinds, 1))[owner], "state": np.ones(len(contexts), bool)}
+        if shorter is not None:
+            level["rest"] = rest = np.searchsorted(shorter["run"], code & _LOW[d])
+        if below is not None:
+            met = n > 0
+            gain = np.zeros(len(code))
+            gain[met] = n[met] * np.log(n[met] / level["total"][met] / (shorter["n"][rest[met]] / shorter["total"][rest[met]]))
+            level["state"] = (np.bincount(owner, gain, len(contexts)) >= min_gain) & (total >= least)
+        out.append(level)
+        shorter = level
+    for longer, level in zip(out[:0:-1], out[-2::-1], strict=True):  # suffixes of states are states
+        level["state"][level["owner"][longer["rest"][longer["state"][longer["owner"]]]]] = True
+    for level in out:
+        rest = np.full(len(level["run"]), 1 / 256) if below is None else below["p"][level["rest"]]
+        kept = level["state"][level["owner"]] & (level["total"] > 0)
+        level["p"] = np.where(kept, level["share"] * rest + (1 - level["share"]) * level["n"] / np.maximum(level["total"], 1), rest)
+        below = level
+    return out
+
+
+def probabilities(run: np.ndarray, n: np.ndarray, base: dict[str, np.ndarray], least: int, min_gain: float) -> np.ndarray:
+    """log10 probability of each of a leaf's distinct runs, all with contexts of more than ``ROOTS`` bytes.
+
+    ``n``: how often each occurred; ``base``: the longest roots.  A context diverges if n * KL(context || suffix) >= ``min_gain`` nats.
     """
-    order = np.argsort(code)
-    code, n = code[order], n[order].astype(float)
-    length, low = code >> _TAG, code & ((np.int64(1) << _TAG) - 1)
-    states, owner, distinct = np.unique((length - 1) << _TAG | low >> np.int64(8), return_inverse=True, return_counts=True)
-    if not len(states):
-        states, distinct = np.zeros(1, np.int64), np.zeros(1, np.int64)
-    size = len(states)
-    total, depth, text = np.bincount(owner, n, size), states >> _TAG, states & ((np.int64(1) << _TAG) - 1)
-    up = np.searchsorted(code, np.where(length > 1, (length - 1) << _TAG | low & _LOW[np.maximum(length - 1, 0)], code))
-    gain = np.bincount(owner, n * np.log(n / total[owner] / (n[up] / total[owner[up]])), size)
-    suffix = np.searchsorted(states, np.where(depth > 0, (depth - 1) << _TAG | text & _LOW[np.maximum(depth - 1, 0)], states))
-    prefix = np.minimum(np.searchsorted(states, np.where(depth > 0, (depth - 1) << _TAG | text >> np.int64(8), states)), size - 1)
-    kept = (gain >= min_gain) | (depth == 0)
-    for d in range(DEPTH, 0, -1):  # with all substrings
-        mine = kept & (depth == d)
-        kept[suffix[mine]] = kept[prefix[mine]] = True
-    new = np.cumsum(kept) - 1
-
-    seen = np.unique(low & np.int64(255)) if len(low) else np.zeros(0, np.int64)
-    width = len(seen) + 1  # the last column: a byte never met
-    kinds = np.full(256, width - 1)
-    kinds[seen] = np.arange(len(seen))
-    share = (distinct / np.maximum(total + distinct, 1))[kept]
-    share[0] = share[0] if total.any() else 1.0
-    p = np.empty((kept.sum(), width))
-    mine = np.flatnonzero(kept[owner]) if len(owner) else np.zeros(0, np.int64)
-    row, column = new[owner[mine]], kinds[low[mine] & np.int64(255)]
-    value = (1 - share[row]) * n[mine] / total[owner[mine]]
-    for d in range(DEPTH + 1):
-        here = np.flatnonzero(depth[kept] == d)
-        p[here] = share[here, None] * (p[new[suffix[kept][here]]] if d else 1 / 256)
-        of = depth[kept][row] == d
-        p[row[of], column[of]] += value[of]
-
-    own = states[kept]
-    step = np.zeros((len(own), width), np.int64)
-    for x in seen:
-        now, body = depth[kept] + 1, text[kept] << np.int64(8) | x
-        to = np.full(len(own), -1)
-        for d in range(DEPTH, -1, -1):
-            todo = np.flatnonzero((to < 0) & (now >= d))
-            want = np.int64(d) << _TAG | body[todo] & _LOW[d]
-            at = np.minimum(np.searchsorted(own, want), len(own) - 1)
-            hit = own[at] == want
-            to[todo[hit]] = at[hit]
-        step[:, kinds[x]] = to * width
-    start = int(step[0, kinds[SPACE]])
-    return SuffixTree(kinds, width, np.log10(p).astype(np.float32).ravel(), step.astype(np.int32).ravel(), start, len(own))
+    depth = depth_of(run)
+    codes, counts = [], []
+    for d in range(ROOTS + 1, DEPTH + 1):
+        code, count = counted([run[depth >= d] & _LOW[d + 1]], [n[depth >= d].astype(float)])
+        codes.append(code)
+        counts.append(count)
+    levels = _levels(codes, counts, base, ROOTS + 1, least, min_gain)
+    out = np.empty(len(run))
+    for d, level in enumerate(levels, ROOTS + 1):
+        own = depth == d
+        out[own] = level["p"][np.searchsorted(level["run"], run[own] & _LOW[d + 1])]
+    return np.log10(out)

@@ -113,15 +113,67 @@ def test_scores(spark):
         assert r.n_known == sum(c[w] > 0 for w in words[r.doc_id]) + 1 and r.score < 0
 
 
-def test_tree_sums_to_one():
+def suffix_tree_by_hand(train, least=4, min_gain=5.0):
+    """log10 probability of a stream, by the definition: a dictionary of contexts."""
+    seen = {}
+    for s in train:
+        s = b" " + s
+        for i in range(1, len(s)):
+            for d in range(min(i, 5) + 1):
+                seen.setdefault(s[i - d : i], Counter())[s[i]] += 1
+    def diverges(x):  # noqa: E306
+        a, b = seen[x], seen[x[1:]]
+        na, nb = sum(a.values()), sum(b.values())
+        return na >= least and sum(k * math.log(k / na / (b[y] / nb)) for y, k in a.items()) >= min_gain
+    states = {x for x in seen if len(x) < 2}
+    for x in seen:
+        if len(x) >= 2 and diverges(x):
+            states |= {x[k:] for k in range(len(x))}
+
+    def p(context, byte):
+        rest = p(context[1:], byte) if context else 1 / 256
+        if context not in states:
+            return rest
+        n, kinds = sum(seen[context].values()), len(seen[context])
+        return (kinds * rest + n * seen[context][byte] / n) / (n + kinds)
+
+    return lambda s: sum(math.log10(p((b" " + s)[max(0, i - 5) : i], (b" " + s)[i])) for i in range(1, len(s) + 1))
+
+
+def test_scores_by_the_definition_of_the_tree(spark, monkeypatch):
     from heddle.llm import suffix_tree as S
 
-    run, n = S.count_runs([[S.stream(t.split()) for t in (b"ab ab", b"b a", b"")]])
-    every = [(((k << 56) | (r & ((1 << 8 * k) - 1))), m) for r, m in zip(run.tolist(), n.tolist(), strict=True) for k in range(1, (r >> 56) + 1)]
-    code, count = S.counted([np.array([r for r, _ in every])], [np.array([m for _, m in every])])
-    tree = S.grow(code, count, min_gain=0.1)
-    first = [S.stream([])] + [bytes([x]) for x in range(256) if x != S.END]
-    assert 0.99 < (10 ** tree.score(first)).sum() <= 1.0001
+    docs = registry.table(spark, SF, "documents").where("n_chars < 4000").limit(60).toPandas()
+    rows = [(int(i), t) for i, t in zip(docs.doc_id, docs.text, strict=True)] + [(10**6 + k, t) for k, t in enumerate(["", "a", "Ab ab AB", None])]
+    streams = {i: S.stream(words_of(t or "")) for i, t in rows}
+    by_hand = suffix_tree_by_hand([s for i, s in streams.items() if zlib.crc32(str(i).encode()) % 10])
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.score for r in lm_scoring.score_texts(df, held(10)).collect()}
+    assert len(got) == len(rows) and all(got[i] == pytest.approx(by_hand(s), rel=1e-5) for i, s in streams.items())
+    # the probabilities of all texts sum to at most one
+    first = [b"\n"] + [bytes([x]) for x in range(256) if x != S.END]
+    assert 0.99 < sum(10 ** by_hand(s) for s in first) <= 1.0001
+
+
+def test_runs_of_long_texts(monkeypatch):
+    from heddle.llm import suffix_tree as S
+
+    rng = np.random.default_rng(2)
+    streams = [S.stream([bytes(rng.choice(list(b"abc"), rng.integers(1, 6))) for _ in range(n)]) for n in (0, 1, 40, 3, 0, 90)]
+    want = []
+    for s in streams:
+        t = b" " + s
+        want += [((min(i, 5) + 1) << 56) | int.from_bytes(t[max(0, i - 5) : i + 1], "big") for i in range(1, len(t))]
+    for window in (7, 16, 1 << 20):
+        monkeypatch.setattr(S, "WINDOW", window)
+        assert np.concatenate(list(S.runs(streams))).tolist() == want
+        run = np.unique(want)
+        logp = rng.random(len(run))
+        value, ends = logp[np.searchsorted(run, want)], np.cumsum([len(s) for s in streams])
+        assert lm_scoring.scores(streams, run, logp) == pytest.approx([x.sum() for x in np.split(value, ends[:-1])])
+        code, n = S.count_runs([(streams[:3], 1), ([], 1), (streams[3:], 0)])
+        seen = Counter(want[: ends[2]])
+        assert dict(zip(code.tolist(), n.tolist(), strict=True)) == {c: seen[c] for c in set(want)}
 
 
 def components(fp):
