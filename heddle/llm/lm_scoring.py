@@ -1,14 +1,13 @@
 """Language-model scores of texts: word frequencies and a suffix tree.
 
 Tokens are lower-cased words and one end for each text.  One pass packs the texts of
-each input split into blocks: the block's dictionary with counts from its training texts, each
-text as places in that dictionary, and the block's distinct byte runs with their training counts,
-dealt by hash into parts.  Then, without a task that holds more than a block, a part or a leaf:
-
-* dictionaries are summed to corpus-wide counts by word, which go back to the blocks by joins on
-  the word and then on the block; a frequent word has one row for each block, never one for
-  each occurrence;
-* runs are summed part by part to the corpus' distinct runs; those are gathered by the last bytes
+each input split into blocks: the block's dictionary, each text as places in that dictionary, and
+the block's distinct words and byte runs with their training counts, dealt by hash into parts.
+Then, without a task that holds more than a block, a part or a leaf:
+
+* words are summed part by part, and their corpus-wide counts go back to the blocks; a frequent word
+  has one entry for each block, never one for each occurrence;
+* runs are summed in the same way to the corpus' distinct runs; those are gathered by the last bytes
   of their contexts, the leaves in which the suffix tree is worked out (see ``suffix_tree``); and the
   runs' probabilities go back by part to the blocks that asked for them;
 * each block scores its texts with both.
@@ -23,6 +22,7 @@ extra columns are ignored; texts are taken whole; no rows give no rows.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,11 +36,20 @@ from heddle.llm.arrow import slices, texts_of, words_of
 from heddle.plans.durable import materialize
 
 BLOCK_ROWS, BLOCK_CHARS = 8192, 24_000_000
-#: Bytes of text whose runs one part holds, about.
-PART_BYTES = 100_000_000
-NAMES = ["block", "id", "held", "n_tokens", "places", "words", "trained", "part", "runs", "times"]
-PACKED = "block long, id {id}, held boolean, n_tokens long, places binary, words array<string>, trained array<long>, part int, runs binary, times binary"
-KINDS = [pa.int64(), None, pa.bool_(), pa.int64(), pa.binary(), pa.list_(pa.string()), pa.list_(pa.int64()), pa.int32(), pa.binary(), pa.binary()]
+#: Bytes of text whose words and runs one part holds, about, and the least number of parts.
+PART_BYTES, LEAST_PARTS = 100_000_000, 64
+NAMES = ["block", "id", "held", "n_tokens", "places", "part", "words", "runs", "times"]
+PACKED = "block long, id {id}, held boolean, n_tokens long, places binary, part int, words binary, runs binary, times binary"
+KINDS = [pa.int64(), None, pa.bool_(), pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+
+
+def planes(numbers: np.ndarray, kind: str) -> bytes:
+    """Numbers with their first bytes together, then their second ones, and so on; small or sorted ones compress well so."""
+    return numbers.astype(kind)[:, None].view(np.uint8).T.tobytes()
+
+
+def unplaned(raw: bytes, kind: str) -> np.ndarray:
+    return np.frombuffer(raw, np.uint8).reshape(np.dtype(kind).itemsize, -1).T.copy().view(kind).ravel()
 
 
 class _Places(dict):
@@ -51,14 +60,18 @@ class _Places(dict):
         return at
 
 
-def part_of(run: np.ndarray, parts: int) -> np.ndarray:
+def parts_of_runs(run: np.ndarray, parts: int) -> np.ndarray:
     """The part of each run, by a mix of its bits."""
     mixed = run.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    return ((mixed >> np.uint64(33)) % np.uint64(parts)).astype(np.int32)
+    return ((mixed >> np.uint64(33)) % np.uint64(parts)).astype(np.int64)
+
+
+def parts_of_words(words: list[bytes], parts: int) -> np.ndarray:
+    return np.fromiter(map(zlib.crc32, words), np.int64, len(words)) % parts
 
 
 def pack(df: DataFrame, held: Column, id_col: str, text_col: str, parts: int) -> DataFrame:
-    """For each block rows of its texts (places), one of its dictionary and one for each part of its runs."""
+    """For each block rows of its texts (places), one of its dictionary, and one for each part of its words and of its runs."""
     kind = df.schema[id_col].dataType.simpleString()
 
     def rows(id_kind: pa.DataType, n: int, block: int, **columns: pa.Array) -> pa.RecordBatch:
@@ -73,13 +86,19 @@ def pack(df: DataFrame, held: Column, id_col: str, text_col: str, parts: int) ->
         def flush() -> Iterator[pa.RecordBatch]:
             nonlocal places, trained, chars, made, streams, n
             block = (task << 32) + made
-            words = [w.decode("utf-8", "replace") for w in places]
-            yield rows(id_kind, 1, block, words=pa.array([words], KINDS[5]), trained=pa.array([trained[: len(words)]], KINDS[6]))
+            yield rows(id_kind, 1, block, words=pa.array([b"\n".join(places)], pa.binary()))
+            words, of = list(places), parts_of_words(list(places), parts)
+            order = np.argsort(of, kind="stable")
+            for own in np.split(order, np.flatnonzero(np.diff(of[order])) + 1):
+                if len(own):
+                    joined, times = b"\n".join([words[k] for k in own.tolist()]), planes(trained[own], "<u4")
+                    yield rows(id_kind, 1, block, part=pa.array([of[own[0]]], pa.int32()), words=pa.array([joined], pa.binary()), times=pa.array([times], pa.binary()))
             code, times = suffix_tree.count_runs([(streams[0], 1), (streams[1], 0)])
-            of = part_of(code, parts)
-            for k in np.unique(of).tolist():
-                own = of == k
-                yield rows(id_kind, 1, block, part=pa.array([k], KINDS[7]), runs=pa.array([code[own].tobytes()], KINDS[8]), times=pa.array([times[own].astype("<u4").tobytes()], KINDS[9]))
+            of = parts_of_runs(code, parts)
+            order = np.argsort(of, kind="stable")
+            for own in np.split(order, np.flatnonzero(np.diff(of[order])) + 1):
+                if len(own):
+                    yield rows(id_kind, 1, block, part=pa.array([of[own[0]]], pa.int32()), runs=pa.array([planes(code[own], "<i8")], pa.binary()), times=pa.array([planes(times[own], "<u4")], pa.binary()))
             places, trained, streams, chars, n, made = _Places(), np.zeros(1 << 12, np.int64), ([], []), 0, 0, made + 1
 
         for whole in batches:
@@ -94,7 +113,7 @@ def pack(df: DataFrame, held: Column, id_col: str, text_col: str, parts: int) ->
                         trained += np.bincount(at, minlength=len(trained))
                     chars += len(text)
                     streams[out].append(suffix_tree.stream(words))
-                    texts.append((len(words) + 1, at.astype("<u4").tobytes()))
+                    texts.append((len(words) + 1, planes(at, "<u4")))
                 n += len(texts)
                 n_tokens, packed = zip(*texts, strict=True)
                 yield rows(id_kind, len(texts), (task << 32) + made, id=batch.column("id"), held=batch.column("held"), n_tokens=pa.array(n_tokens, KINDS[3]), places=pa.array(packed, KINDS[4]))
@@ -107,12 +126,28 @@ def pack(df: DataFrame, held: Column, id_col: str, text_col: str, parts: int) ->
     return given.mapInArrow(run, PACKED.format(id=kind))
 
 
+def word_counts(asked: DataFrame) -> DataFrame:
+    """Rows (of_block, part, totals, distinct): the corpus' counts of a block's words in a part; ``distinct`` sums to the number of trained words."""
+
+    def gather(rows: pa.Table) -> pa.Table:
+        words = [x.split(b"\n") for x in rows.column("words").to_pylist()]
+        total: dict[bytes, int] = {}
+        for own, times in zip(words, rows.column("times").to_pylist(), strict=True):
+            for word, k in zip(own, unplaned(times, "<u4").tolist(), strict=True):
+                total[word] = total.get(word, 0) + k
+        found = [planes(np.fromiter(map(total.__getitem__, own), np.int64, len(own)), "<i8") for own in words]
+        distinct = [sum(k > 0 for k in total.values())] + [0] * (len(found) - 1)
+        return pa.table({"of_block": rows.column("block"), "part": rows.column("part"), "totals": pa.array(found, pa.binary()), "distinct": pa.array(distinct, pa.int64())})
+
+    return asked.groupBy("part").applyInArrow(gather, "of_block long, part int, totals binary, distinct long")
+
+
 def tree(asked: DataFrame, least: int, min_gain: float) -> DataFrame:
     """Rows (of_block, runs, logp) with the log10 probability of each run that a block asks for; asked: block, part, runs, times."""
 
     def gather(rows: pa.Table) -> pa.Table:
-        codes = [np.frombuffer(x, np.int64) for x in rows.column("runs").to_pylist()]
-        run, n = suffix_tree.counted(codes, [np.frombuffer(x, "<u4").astype(np.int64) for x in rows.column("times").to_pylist()])
+        codes = [unplaned(x, "<i8") for x in rows.column("runs").to_pylist()]
+        run, n = suffix_tree.counted(codes, [unplaned(x, "<u4").astype(np.int64) for x in rows.column("times").to_pylist()])
         ending = np.where(suffix_tree.depth_of(run) > suffix_tree.ROOTS, suffix_tree.ending(run), -1)
         return pa.table({"part": pa.array(np.full(len(run), rows.column("part")[0].as_py()), pa.int32()), "run": run, "n": n, "ending": ending})
 
@@ -136,7 +171,7 @@ def tree(asked: DataFrame, least: int, min_gain: float) -> DataFrame:
         run = right.column("run").to_numpy()
         order = np.argsort(run)
         run, p = run[order], right.column("logp").to_numpy()[order]
-        found = [p[np.searchsorted(run, np.frombuffer(x, np.int64))].astype("<f4").tobytes() for x in left.column("runs").to_pylist()]
+        found = [planes(p[np.searchsorted(run, unplaned(x, "<i8"))], "<f4") for x in left.column("runs").to_pylist()]
         return pa.table({"of_block": left.column("block"), "runs": left.column("runs"), "logp": pa.array(found, pa.binary())})
 
     return asked.select("block", "part", "runs").groupBy("part").cogroup(told.groupBy("part")).applyInArrow(answer, "of_block long, runs binary, logp binary")
@@ -163,36 +198,37 @@ def score_texts(df: DataFrame, held: Column, id_col: str = "doc_id", text_col: s
     """
     kind = df.schema[id_col].dataType.simpleString()
     size = df.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    packed = materialize(pack(df, held, id_col, text_col, 1 + size // PART_BYTES), "packed")
+    parts = max(LEAST_PARTS, 1 + size // PART_BYTES)
+    packed = materialize(pack(df, held, id_col, text_col, parts), "packed")
     texts = packed.where("part is null").select("block", "id", "held", "n_tokens", "places", "words")
-    entries = packed.where("words is not null").select("block", F.posexplode(F.arrays_zip("words", "trained")).alias("place", "e"))
-    entries = entries.select("block", "place", F.col("e.words").alias("word"), F.col("e.trained").alias("c"))
-    counts = materialize(entries.groupBy("word").agg(F.sum("c").alias("c")), "counts")
-    ends = texts.where(~F.col("held")).count()
-    tokens, distinct = counts.where("c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    n, v = tokens + ends, distinct + (ends > 0)
-    back = entries.select("block", "place", "word").join(counts.hint("merge"), "word").select(F.col("block").alias("of_block"), "place", "c")
-    told = tree(packed.where("part is not null").select("block", "part", "runs", "times"), least, min_gain)
+    asked = packed.where("part is not null")
+    counts = materialize(word_counts(asked.where("words is not null").select("block", "part", "words", "times")), "counts")
+    ends, n = texts.where(~F.col("held")).agg(F.count("*"), F.coalesce(F.sum("n_tokens"), F.lit(0))).first()
+    v = (counts.agg(F.sum("distinct")).first()[0] or 0) + (ends > 0)
+    told = tree(asked.where("runs is not null").select("block", "part", "runs", "times"), least, min_gain)
     nothing = F.lit(None).cast("binary")
-    back = back.select("of_block", "place", "c", nothing.alias("runs"), nothing.alias("logp")).unionByName(told.select("of_block", F.lit(None).cast("int").alias("place"), F.lit(None).cast("long").alias("c"), "runs", "logp"))
+    back = counts.select("of_block", "part", "totals", nothing.alias("runs"), nothing.alias("logp")).unionByName(told.select("of_block", F.lit(None).cast("int").alias("part"), nothing.alias("totals"), "runs", "logp"))
 
     def total(left: pa.Table, right: pa.Table) -> pa.Table:
-        is_dictionary, is_word = left.column("words").is_valid(), right.column("place").is_valid()
-        dictionary = [w.encode("utf-8", "surrogatepass") for w in left.filter(is_dictionary).column("words")[0].as_py()]
-        left, found, asked = left.filter(left.column("words").is_null()), right.filter(is_word), right.filter(right.column("place").is_null())
-        c = np.zeros(len(dictionary), np.int64)
-        c[found.column("place").to_numpy()] = found.column("c").to_numpy()
+        joined = left.filter(left.column("words").is_valid()).column("words")[0].as_py()
+        dictionary = joined.split(b"\n") if joined else []
+        left, found, asked = left.filter(left.column("words").is_null()), right.filter(right.column("part").is_valid()), right.filter(right.column("part").is_null())
+        c, of = np.zeros(len(dictionary), np.int64), parts_of_words(dictionary, parts)
+        order = np.argsort(of, kind="stable")
+        start = np.searchsorted(of[order], np.arange(parts + 1)) if len(found) else []
+        for k, totals in zip(found.column("part").to_pylist(), found.column("totals").to_pylist(), strict=True):
+            c[order[start[k] : start[k + 1]]] = unplaned(totals, "<i8")
         base, known = np.log10((c + 0.1) / (n + 0.1 * (v + 1))), c > 0
         end = float(np.log10((ends + 0.1) / (n + 0.1 * (v + 1))))
-        runs = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(x, np.int64) for x in asked.column("runs").to_pylist())])
-        logp = np.concatenate([np.zeros(0, np.float32), *(np.frombuffer(x, "<f4") for x in asked.column("logp").to_pylist())])
+        runs = np.concatenate([np.zeros(0, np.int64), *(unplaned(x, "<i8") for x in asked.column("runs").to_pylist())])
+        logp = np.concatenate([np.zeros(0, np.float32), *(unplaned(x, "<f4") for x in asked.column("logp").to_pylist())])
         order = np.argsort(runs)
         runs, logp = runs[order], logp[order]
         known_n, base_score, score = [], [], []
         for batch in left.select(["places"]).to_batches(max_chunksize=500):
             streams = []
             for places in batch.column("places").to_pylist():
-                at = np.frombuffer(places, "<u4").astype(np.int64)
+                at = unplaned(places, "<u4").astype(np.int64)
                 known_n.append(int(known[at].sum()) + (ends > 0))
                 base_score.append(float(base[at].sum()) + end)
                 streams.append(suffix_tree.stream([dictionary[k] for k in at.tolist()]))
