@@ -9,12 +9,13 @@ the rest are verified.
 
 So that only pairs worth comparing meet, the distances to the flipped references
 fall in six groups by the bits they flip.  Two differing bits touch at most two groups,
-so fingerprints that link agree in all coordinates of four groups at least: each
-fingerprint is dealt out under the coordinates of each of the 15 choices of four
+so fingerprints that link agree in all coordinates and bits of four groups at least: each
+fingerprint is dealt out under those of each of the 15 choices of four
 groups.  Where many fingerprints meet under one key, they are linked through the values they take
 with two bits of the other two groups blanked, in time in proportion to their number; every
 linking pair meets so under the key of the four groups it agrees in.  Each
-key gives a spanning forest of its links, never all pairs.
+key gives a spanning forest of its links, never all pairs.  Fingerprints are distinct here and those under a
+key differ in the bits of two groups, at most 24, so no key has more than 2**24 of them, however many texts there are.
 
 Defined results: null text or no words is fingerprint zero, linked like any
 other; exact copies collapse before links are searched; repeated rows each keep their row; a
@@ -81,7 +82,9 @@ def keys(fp: np.ndarray) -> np.ndarray:
         key = np.full(len(fp), k, np.int64)
         for g in choice:
             key = key * 3 ** len(GROUPS[g]) + group[:, g]
-        out[:, k] = key * len(CHOICES) + k
+        mask = np.bitwise_or.reduce([np.uint64(3) << np.uint64(2 * pair) for g in choice for pair in GROUPS[g]])
+        mixed = (key.view(np.uint64) ^ (fp & mask)) * np.uint64(0x9E3779B97F4A7C15)
+        out[:, k] = (mixed >> np.uint64(5)).view(np.int64) * len(CHOICES) + k
     return out
 
 
@@ -137,7 +140,7 @@ def near_pairs(distinct: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(keys(fp.view(np.uint64)).ravel()), pa.array(np.repeat(fp, len(CHOICES)))], ["key", "fp"])
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, fp = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        held: list[tuple[np.ndarray, np.ndarray]] = []
 
         def give(k: np.ndarray, f: np.ndarray) -> Iterator[pa.RecordBatch]:
             if len(k) > 1:
@@ -146,13 +149,15 @@ def near_pairs(distinct: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
 
         for batch in batches:
-            key = np.concatenate([key, batch.column("key").to_numpy()])
-            fp = np.concatenate([fp, batch.column("fp").to_numpy()])
-            if len(key) >= 100_000 and key[0] != key[-1]:  # all but the last key are complete
+            if batch.num_rows:
+                held.append((batch.column("key").to_numpy(), batch.column("fp").to_numpy()))
+            if sum(len(k) for k, _ in held) >= 100_000 and held[0][0][0] != held[-1][0][-1]:  # all but the last key are complete
+                key, fp = (np.concatenate(x) for x in zip(*held, strict=True))
                 cut = np.searchsorted(key, key[-1])
                 yield from give(key[:cut], fp[:cut])
-                key, fp = key[cut:], fp[cut:]
-        yield from give(key, fp)
+                held = [(key[cut:], fp[cut:])]
+        if held:
+            yield from give(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
     dealt = distinct.mapInArrow(deal, "key long, fp long").repartition("key").sortWithinPartitions("key")
     return dealt.mapInArrow(link, "a long, b long").distinct()
