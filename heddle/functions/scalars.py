@@ -72,9 +72,30 @@ def repo_key_ok(key: Column) -> Column:
     return key.rlike(r"^[A-Za-z0-9._-]+(/[A-Za-z0-9._-]+)*$") & (F.octet_length(key) <= 256) & ~F.exists(F.split(key, "/"), lambda s: s.isin(".", ".."))
 
 
+def mac_reads_as(name: Column, word: str) -> Column:
+    """A dot and the word in any case, once the characters that HFS+ ignores are gone."""
+    return F.regexp_replace(name, "[\u200c-\u200f\u202a-\u202e\u206a-\u206f\ufeff]", "").rlike(rf"^(?i:\.{word})\z")
+
+
+def like_dot_git(name: Column) -> Column:
+    """Names that a Mac or Windows checkout takes for ``.git``: blanks and dots may follow, or a stream's colon; so may one after a backslash."""
+    return mac_reads_as(name, "git") | name.rlike(r"(?:^|\\)(?i:\.git|git~1)[ .]*(?:[/\\:]|\z)")
+
+
+def like_dot_gitmodules(name: Column) -> Column:
+    """The same for ``.gitmodules`` and the short names NTFS may give it: ``gitmod~1`` to ``~4``, or eight characters of ``gi7eba`` and a number."""
+    fallback = "|".join(f"{'gi7eba'[:k]}~[1-9]" + (f"[0-9]{{{6 - k}}}" if k < 6 else "") for k in range(7))
+    return mac_reads_as(name, "gitmodules") | name.rlike(rf"(?:^|\\)(?i:\.gitmodules|gitmod~[1-4]|{fallback})[ .]*(?::|\z)")
+
+
 def path_ok(path: Column) -> Column:
     """No component that is empty, a dot, two dots, like .git, or holds a backslash or NUL."""
-    return ~F.exists(F.split(path, "/"), lambda s: (s == "") | s.isin(".", "..") | (F.lower(F.regexp_replace(s, r"[ .]+$", "")).isin(".git", "git~1")) | s.contains("\\") | s.contains("\0"))
+    return ~F.exists(F.split(path, "/"), lambda s: (s == "") | s.isin(".", "..") | like_dot_git(s) | s.contains("\\") | s.contains("\0"))
+
+
+def lossy(raw: Column) -> Column:
+    """Bytes as text; what isn't UTF-8 becomes the replacement character."""
+    return F.make_valid_utf8(raw.cast("string"))
 
 
 def identity_ok(name: Column, email: Column, seconds: Column, offset: Column) -> Column:

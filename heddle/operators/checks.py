@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from heddle.functions.scalars import size_argument
+
 #: A line up to its end; what follows a line; an id.
 LINE, ID = r"[^\n]*\n", "[0-9a-f]{40}"
 
@@ -113,3 +115,26 @@ def parse_trees(trees: DataFrame, id_bytes: int = 20) -> DataFrame:
 
     kind = trees.schema["tree"].dataType.simpleString()
     return trees.select("tree", F.col("content").cast("binary").alias("content")).mapInArrow(run, f"tree {kind}, ord int, mode int, name binary, oid string")
+
+
+def of_kind(objects: DataFrame, kind: str) -> DataFrame:
+    """The objects of one kind; a lookup by id and kind is a filter on both."""
+    return objects.where(F.col("kind") == kind)
+
+
+def within_limit(objects: DataFrame, max_bytes: int = 100 << 20) -> DataFrame:
+    """The objects (size) that are small enough to be stored."""
+    return objects.where(F.col("size") <= max_bytes)
+
+
+def filtered(objects: DataFrame, spec: str) -> DataFrame:
+    """The objects (kind, size, wanted) that a fetch sends under ``blob:none``, ``blob:limit=n`` or ``tree:0``; wanted ones always."""
+    if spec == "blob:none":
+        keep = F.col("kind") != "blob"
+    elif spec.startswith("blob:limit="):
+        keep = (F.col("kind") != "blob") | (F.col("size") < size_argument(spec.removeprefix("blob:limit=")))
+    elif spec == "tree:0":
+        keep = ~F.col("kind").isin("blob", "tree")
+    else:
+        raise ValueError(f"unsupported filter {spec!r}")
+    return objects.where(keep | F.col("wanted"))

@@ -10,9 +10,10 @@ edges only; rounds follow the number of crossings, not the depth.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from heddle.operators.lifecycle import peel
 from heddle.plans.durable import materialize, release
 
 
@@ -21,14 +22,15 @@ def chains(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     onward = edges.where("ord = 0").groupBy("parent").agg(F.min("child").alias("child"))
     now = nodes.join(onward.select(F.col("child").alias("id"), "parent"), "id", "left")
     now = materialize(now.select("id", F.coalesce("parent", "id").alias("to"), F.col("parent").isNotNull().cast("long").alias("pos")), "chains")
+    sum_before = None
     while True:
         far = now.select(F.col("id").alias("k"), F.col("to").alias("to2"), F.col("pos").alias("pos2"))
         after = materialize(now.join(far, F.col("to") == F.col("k")).select("id", F.col("to2").alias("to"), (F.col("pos") + F.col("pos2")).alias("pos")), "chains")
-        moved = after.agg(F.sum("pos")).first()[0] != now.agg(F.sum("pos")).first()[0]
         release(now)
-        now = after
-        if not moved:
+        now, sum_now = after, after.agg(F.sum("pos")).first()[0]
+        if sum_now == sum_before:
             return now.select("id", F.col("to").alias("chain"), "pos")
+        sum_before = sum_now
 
 
 def crossings(edges: DataFrame, places: DataFrame) -> DataFrame:
@@ -41,7 +43,10 @@ def crossings(edges: DataFrame, places: DataFrame) -> DataFrame:
 class Graph:
     """A commit graph laid out once, for any number of questions."""
 
-    def __init__(self, nodes: DataFrame, edges: DataFrame):
+    def __init__(self, nodes: DataFrame, edges: DataFrame, shallow: DataFrame | None = None):
+        """``shallow``: commits (id) that are taken to have no parents."""
+        if shallow is not None:
+            edges = edges.join(shallow.select(F.col("id").alias("child")), "child", "left_anti")
         self.edges = edges
         self.places = chains(nodes, edges)
         self.cross = materialize(crossings(edges, self.places), "crossings")
@@ -92,6 +97,31 @@ class Graph:
         spans = w.join(h, "chain", "left").select(F.col("chain").alias("on"), "w", F.coalesce("h", F.lit(-1)).alias("h"))
         return spans.join(self.places, (F.col("on") == F.col("chain")) & (F.col("pos") <= F.col("w")) & (F.col("pos") > F.col("h"))).select("id")
 
+    def list_commits(self, starts: DataFrame, limit: int = 0, most: int = 100) -> DataFrame:
+        """(start, place, id, next_token): a page of first parents from each start (start; a commit, or the token of the page before).
+
+        The walk reads one commit more than a page holds, which is the next page's token.  It takes what it needs
+        of a chain at once, so rounds follow the chains a page crosses.  A start that is no commit is an error.
+        """
+        size = min(limit or most, most)
+        at = starts.select("start").distinct().join(self.places.withColumnRenamed("id", "start"), "start", "left")
+        front = materialize(at.select("start", "chain", F.col("pos").alias("top"), F.lit(0).cast("long").alias("place")), "page")
+        if not front.where("chain is null").isEmpty():
+            raise ValueError("a history starts at a commit")
+        onward = self.cross.where("ord = 0 and c_pos = 0").select(F.col("c_chain").alias("chain"), "p_chain", "p_pos")
+        out = None
+        while True:
+            took = F.least(F.col("top") + 1, F.lit(size + 1) - F.col("place"))
+            asked = front.select("start", "chain", F.explode(F.sequence(F.lit(0).cast("long"), took - 1)).alias("k"), "top", "place").select("start", "chain", (F.col("top") - F.col("k")).alias("pos"), (F.col("place") + F.col("k")).cast("int").alias("place"))
+            found = asked.join(self.places, ["chain", "pos"]).select("start", "place", "id")
+            out = found if out is None else out.unionByName(found)
+            left = front.withColumn("took", took).where(F.col("place") + F.col("took") <= size)
+            front = materialize(left.join(onward, "chain").select("start", F.col("p_chain").alias("chain"), F.col("p_pos").alias("top"), (F.col("place") + F.col("took")).alias("place")), "page")
+            if front.isEmpty():
+                break
+        token = F.max(F.when(F.col("place") == size, F.col("id"))).over(Window.partitionBy("start"))
+        return out.withColumn("next_token", token).where(F.col("place") < size).select("start", "place", "id", "next_token")
+
     def generations(self) -> DataFrame:
         """(id, generation): 1 for a root, else one more than the largest of its parents."""
         cross = materialize(self.cross.select("child", "parent", "c_chain", "c_pos", "p_chain", "p_pos", F.lit(0).cast("long").alias("lead")), "leads")
@@ -118,14 +148,28 @@ def history(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, depth): first-parent depth of every commit by pointer doubling."""
     now = nodes.join(edges.where("ord = 0").select(F.col("child").alias("id"), "parent"), "id", "left")
     now = materialize(now.select("id", F.coalesce("parent", "id").alias("to"), F.col("parent").isNotNull().cast("long").alias("depth")), "history")
+    sum_before = None
     while True:
         far = now.select(F.col("id").alias("k"), F.col("to").alias("to2"), F.col("depth").alias("d2"))
         after = materialize(now.join(far, F.col("to") == F.col("k")).select("id", F.col("to2").alias("to"), (F.col("depth") + F.col("d2")).alias("depth")), "history")
-        same = after.agg(F.sum("depth")).first() == now.agg(F.sum("depth")).first()
         release(now)
-        now = after
-        if same:
+        now, sum_now = after, after.agg(F.sum("depth")).first()[0]
+        if sum_now == sum_before:
             return now.select("id", "depth")
+        sum_before = sum_now
+
+
+def pushed_walk(pushed: DataFrame, edges: DataFrame, stored: DataFrame, pairs: DataFrame) -> DataFrame:
+    """For each pair (old, new) whether old is met, walking back from new through the pushed commits (id), and ``edge``, the stored commits (id) where the walk ends."""
+    inner = edges.join(pushed.select(F.col("id").alias("child")), "child", "left_semi")
+    graph = Graph(pushed, inner.join(pushed.select(F.col("id").alias("parent")), "parent", "left_semi"))
+    met = graph.ancestors(pairs.select(F.col("new").alias("seed"), F.col("new").alias("id")).distinct())
+    ends = met.join(inner.select(F.col("child").alias("id"), "parent"), "id").select("seed", F.col("parent").alias("id"))
+    ends = ends.unionByName(pairs.select(F.col("new").alias("seed"), F.col("new").alias("id"))).join(stored.select("id"), "id", "left_semi").distinct()
+    seen = met.unionByName(ends).select(F.col("seed").alias("new"), F.col("id").alias("old"), F.lit(True).alias("reached")).distinct()
+    edge = ends.groupBy(F.col("seed").alias("new")).agg(F.array_sort(F.collect_list("id")).alias("edge"))
+    out = pairs.join(seen, ["old", "new"], "left").join(edge, "new", "left")
+    return out.select("old", "new", F.coalesce("reached", F.lit(False)).alias("reached"), F.coalesce("edge", F.array().cast(edge.schema["edge"].dataType)).alias("edge"))
 
 
 def deepen(edges: DataFrame, wants: DataFrame, depth: int) -> DataFrame:
@@ -148,9 +192,22 @@ def deepen_relative(edges: DataFrame, shallow: DataFrame, more: int) -> DataFram
     return deepen(edges, shallow, more + 1).where("depth > 1").select("id", (F.col("depth") - 1).alias("depth"), "shallow")
 
 
-def force_flags(graph: Graph, updates: DataFrame) -> DataFrame:
-    """``updates`` (refname, old, new) with ``force``: the old tip isn't an ancestor of the new one."""
-    asked = graph.is_ancestor(updates.where("old is not null and new is not null").select(F.col("old").alias("a"), F.col("new").alias("d")))
-    met = updates.join(asked, (F.col("old") == F.col("a")) & (F.col("new") == F.col("d")), "left")
-    create_or_delete: Column = F.col("old").isNull() | F.col("new").isNull()
-    return met.select("refname", "old", "new", (~create_or_delete & ~F.coalesce("is_ancestor", F.lit(False))).alias("force"))
+def unshallowed(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Commits (id) that a client held as shallow and that :func:`deepen` (id, depth, shallow) now gives whole."""
+    return before.select("id").join(after.where("not shallow").select("id"), "id", "left_semi")
+
+
+def force_flags(graph: Graph, updates: DataFrame, tags: DataFrame, most: int = 15) -> DataFrame:
+    """``updates`` (refname, old, new) with ``force``: the old tip isn't an ancestor of the new one.
+
+    Both tips are peeled through annotated tags (tag, target), at most ``most`` in a row.  A create or a delete is no
+    force; what can't be shown to be a fast-forward is one, as is a tip that ends in no commit.
+    """
+    asked = updates.where("old is not null and new is not null")
+    ends = materialize(peel(asked.select(F.explode(F.array("old", "new")).alias("oid")).distinct(), tags, most), "peeled")
+    old, new = (ends.select(F.col("oid").alias(k), F.col("peeled").alias(c)) for k, c in (("old", "a"), ("new", "d")))
+    met = materialize(asked.join(old, "old", "left").join(new, "new", "left").select("refname", "old", "new", "a", "d"), "moves")
+    shown = graph.is_ancestor(met.where("a is not null and d is not null").select("a", "d")).where("is_ancestor").select("a", "d", F.lit(True).alias("shown"))
+    known = graph.places.select(F.col("id").alias("a"), F.lit(True).alias("known"))
+    moved = met.join(shown, ["a", "d"], "left").join(known, "a", "left").select("refname", "old", "new", (~(F.coalesce("shown", F.lit(False)) & F.coalesce("known", F.lit(False)))).alias("force"))
+    return moved.unionByName(updates.where("old is null or new is null").withColumn("force", F.lit(False)).select("refname", "old", "new", "force"))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from heddle.functions.scalars import like_dot_git, like_dot_gitmodules
+
 from heddle.plans.durable import materialize
 
 
@@ -45,12 +47,6 @@ def include_tags(tags: DataFrame, sent: DataFrame) -> DataFrame:
     return tags.join(sent.select(F.col("oid").alias("target")).distinct(), "target", "left_semi").select("tag", "target")
 
 
-def like_dot_git(name: Column) -> Column:
-    """Names that some file systems take for ``.git``: ignored characters, streams, short names, trailing dots and blanks."""
-    bare = F.lower(F.regexp_replace(name, "[‌-‏‪-‮⁪-⁯﻿]", ""))
-    return F.regexp_replace(F.substring_index(bare, ":", 1), r"[ .]+$", "").isin(".git", "git~1")
-
-
 def tree_faults(entries: DataFrame) -> DataFrame:
     """(tree, ord, fault): the first fault of each entry (tree, ord, mode, name, oid), in stored order."""
     order = Window.partitionBy("tree").orderBy("ord")
@@ -65,6 +61,7 @@ def tree_faults(entries: DataFrame) -> DataFrame:
         .when(like_dot_git(F.col("name")), "DOT_GIT")
         .when(F.col("mode").startswith("0"), "ZERO_PADDED_MODE")
         .when(F.octet_length("name") > 4096, "LONG_NAME")
+        .when((F.col("mode") == "120000") & like_dot_gitmodules(F.col("name")), "GITMODULES_LINK")
         .when(F.count("*").over(Window.partitionBy("tree", "name")) > 1, "DUPLICATE")
         .when(before >= key(F.col("name"), F.col("mode")), "OUT_OF_ORDER")
     )
@@ -80,3 +77,17 @@ def brought(files: DataFrame, parents: DataFrame) -> DataFrame:
 def topological(generations: DataFrame, packed: DataFrame) -> DataFrame:
     """(id, generation, place) in an order where parents come first; ties by pack order."""
     return generations.join(packed, "id").select("id", "generation", "place").orderBy("generation", "place")
+
+
+def created(existing: DataFrame, asked: DataFrame) -> DataFrame:
+    """Repositories (repo, head) that a batch of creates adds to those there; a key that lives, or comes twice, is created once.
+
+    Of several creates of a key the first (smallest ``seq``) says the default branch.
+    """
+    first = asked.groupBy("repo").agg(F.min(F.struct("seq", "head")).alias("f")).select("repo", F.coalesce("f.head", F.lit("refs/heads/main")).alias("head"))
+    return first.join(existing.select("repo"), "repo", "left_anti")
+
+
+def described(log: DataFrame, key: str) -> DataFrame:
+    """What :func:`current_repositories` says of one repository; no row if it does not live."""
+    return current_repositories(log.where(F.col("repo") == key))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from heddle.functions.scalars import ref_name_ok
+
 
 def with_prefix(name: Column, prefixes: list[str], at_most: int = 65_535) -> Column:
     """Any of the prefixes; none, or too many to be a filter, means all."""
@@ -17,15 +19,42 @@ def with_prefix(name: Column, prefixes: list[str], at_most: int = 65_535) -> Col
 
 
 def list_refs(refs: DataFrame, prefixes: list[str] = ()) -> DataFrame:
-    return refs.where(with_prefix(F.col("name"), list(prefixes)))
+    """The refs under any of the prefixes, in byte order of their names."""
+    return refs.where(with_prefix(F.col("name"), list(prefixes))).orderBy("name")
 
 
 def visible(refs: DataFrame, hidden: DataFrame) -> DataFrame:
     return refs.join(hidden, "name", "left_anti")
 
 
-def head_fixup(refs: DataFrame, heads: DataFrame) -> DataFrame:
-    """(repo, head): HEAD's branch, or main, or master, or the first branch where it is missing."""
+def head_line(refs: DataFrame, heads: DataFrame, hidden: DataFrame) -> DataFrame:
+    """(repo, name, oid, symref) of each repository's HEAD, from refs (repo, name, oid) and heads (repo, head).
+
+    HEAD is hidden with its branch; one that names a branch that does not exist (unborn) has no oid and stays.
+    """
+    at = heads.join(refs.select("repo", F.col("name").alias("head"), "oid"), ["repo", "head"], "left")
+    at = at.join(hidden.select("repo", F.col("name").alias("head")), ["repo", "head"], "left_anti")
+    return at.select("repo", F.lit("HEAD").alias("name"), "oid", F.col("head").alias("symref"))
+
+
+def advertise(refs: DataFrame, heads: DataFrame, hidden: DataFrame, peeled: DataFrame, prefixes: list[str] = (), symrefs: bool = True, unborn: bool = True) -> DataFrame:
+    """What a caller is told of refs: (repo, name, oid, symref, peeled), HEAD first, then byte order.
+
+    ``peeled``: oid of an annotated tag, and what it names in the end.  An unborn HEAD is listed only
+    with its target.  HEAD is filtered by the prefixes as a ref named ``HEAD``.
+    """
+    seen = refs.join(hidden.select("repo", "name"), ["repo", "name"], "left_anti").withColumn("symref", F.lit(None).cast("string"))
+    head = head_line(refs, heads, hidden).where(F.col("oid").isNotNull() | F.lit(symrefs and unborn))
+    if not symrefs:
+        head = head.withColumn("symref", F.lit(None).cast("string"))
+    rows = seen.select("repo", "name", "oid", "symref").unionByName(head).where(with_prefix(F.col("name"), list(prefixes)))
+    return rows.join(peeled.select("oid", "peeled"), "oid", "left").select("repo", "name", "oid", "symref", "peeled").orderBy("repo", F.col("name") != "HEAD", "name")
+
+
+def head_fixup(refs: DataFrame, heads: DataFrame, keep_head: bool = False) -> DataFrame:
+    """(repo, head): HEAD's branch, or main, or master, or the first branch where it is missing, unless it is to be kept."""
+    if keep_head:
+        return heads.select("repo", "head")
     branches = refs.where(F.col("name").startswith("refs/heads/")).select("repo", "name")
     named = branches.groupBy("repo").agg(*(F.max(F.when(F.col("name") == f"refs/heads/{b}", F.col("name"))).alias(b) for b in ("main", "master")), F.min("name").alias("first"))
     there = heads.join(branches.select("repo", F.col("name").alias("head"), F.lit(True).alias("there")), ["repo", "head"], "left")
@@ -47,19 +76,24 @@ def evaluate(updates: DataFrame, refs: DataFrame, atomic: bool) -> DataFrame:
     return out.select("command", "ord", "refname", "reason")
 
 
-def prechecks(updates: DataFrame, name_ok: Column, objects: DataFrame, head: str) -> DataFrame:
-    """``updates`` with the first reason for which each is refused before it is compared."""
+def prechecks(updates: DataFrame, objects: DataFrame, head: str) -> DataFrame:
+    """``updates`` (command, atomic, ord, refname, new) with the reason for which each is refused before it is compared.
+
+    A delete needs a name that may be deleted and must not name HEAD's branch; a set needs a name that may be
+    set, an object, and for a branch a commit.  Whatever has no such reason is refused if its command updates the
+    ref again; deletes are a phase of their own unless the command is atomic.
+    """
+    gone = F.col("new").isNull()
     known = updates.join(objects.select(F.col("oid").alias("new"), "kind"), "new", "left")
-    times = F.count("*").over(Window.partitionBy("command", "refname", F.col("new").isNull()))
-    return known.withColumn("times", times).select(
-        "command", "ord", "refname",
-        F.when(~name_ok, "INVALID_NAME")
-        .when(F.col("times") > 1, "REPEATED_REF")
-        .when(F.col("new").isNull() & (F.col("refname") == head), "DELETES_HEAD")
-        .when(F.col("new").isNotNull() & F.col("kind").isNull(), "MISSING_OBJECT")
+    own = F.when(
+        gone, F.when(~ref_name_ok(F.col("refname"), deleting=True), "INVALID_NAME").when(F.col("refname") == head, "DELETES_HEAD")
+    ).otherwise(
+        F.when(~ref_name_ok(F.col("refname")), "INVALID_NAME")
+        .when(F.col("kind").isNull(), "MISSING_OBJECT")
         .when(F.col("refname").startswith("refs/heads/") & (F.col("kind") != "commit"), "NON_COMMIT")
-        .alias("reason"),
-    )
+    )
+    times = F.count("*").over(Window.partitionBy("command", "refname", gone & ~F.col("atomic")))
+    return known.select("command", "ord", "refname", F.coalesce(own, F.when(times > 1, "REPEATED_REF")).alias("reason"))
 
 
 def mirror_plan(ours: DataFrame, theirs: DataFrame, prefixes: list[str]) -> DataFrame:
@@ -104,9 +138,3 @@ def fold(changes: DataFrame) -> DataFrame:
     """Current state of a change feed: the last value of each key; deletions drop out."""
     last = changes.groupBy("name").agg(F.max_by(F.struct("oid", "version"), F.col("version")).alias("last"))
     return last.select("name", "last.oid", "last.version").where("oid is not null")
-
-
-def gaps(changes: DataFrame) -> DataFrame:
-    """Versions whose predecessor isn't in the feed, per repository."""
-    before = F.lag("version").over(Window.partitionBy("repo").orderBy("version"))
-    return changes.withColumn("before", before).where("before is not null and version <> before + 1").select("repo", "version", "before")

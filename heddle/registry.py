@@ -46,8 +46,15 @@ def query(sql: str | None = None):
     return add
 
 
+_LAID_OUT: dict[tuple[str, str], graph.Graph] = {}
+
+
 def the_graph(spark: SparkSession, sf_dir: str) -> graph.Graph:
-    return graph.Graph(model.commits(spark, sf_dir).select("id"), model.edges(spark, sf_dir))
+    """The tables' commit graph, laid out once for all questions of a session; its tables lie in the shared folder."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _LAID_OUT:
+        _LAID_OUT[key] = graph.Graph(model.commits(spark, sf_dir).select("id"), model.edges(spark, sf_dir))
+    return _LAID_OUT[key]
 
 
 def tips(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,12 +86,21 @@ def hidden_refs(spark, sf_dir):
     return refs.visible(model.refs(spark, sf_dir), hidden)
 
 
-@query(MODEL + """SELECT name, oid, CASE WHEN name = 'HEAD' THEN 'refs/heads/u1' END AS symref FROM (
-    SELECT 'HEAD' AS name, oid FROM refs WHERE name = 'refs/heads/u1' UNION ALL SELECT name, oid FROM refs)""")
+#: Refs dealt to seven repositories, each with a HEAD, some hidden, some tags annotated; one HEAD is unborn, one hidden.
+MANY = MODEL + """, many AS (SELECT oid % 7 AS repo, name, oid FROM refs), heads(repo, head) AS (SELECT repo, CASE repo WHEN 3 THEN 'refs/heads/none' ELSE (SELECT min(name) FROM many m WHERE m.repo = r.repo AND starts_with(name, 'refs/heads/')) END FROM (SELECT DISTINCT repo FROM many WHERE starts_with(name, 'refs/heads/')) r),
+shown AS (SELECT * FROM many WHERE NOT (oid % 5 = 0) AND NOT (repo = 4 AND name = (SELECT head FROM heads WHERE repo = 4)))
+"""
+
+
+@query(MANY + """SELECT repo, name, oid, symref, CASE WHEN name LIKE 'refs/tags/%' AND oid % 100 = 0 THEN oid + 7 END AS peeled FROM (
+    SELECT repo, name, oid, NULL AS symref FROM shown
+    UNION ALL SELECT h.repo, 'HEAD', s.oid, h.head FROM heads h LEFT JOIN shown s ON s.repo = h.repo AND s.name = h.head WHERE s.oid IS NOT NULL OR NOT EXISTS (SELECT 1 FROM many m WHERE m.repo = h.repo AND m.name = h.head))""")
 def ls_refs(spark, sf_dir):
-    r = model.refs(spark, sf_dir)
-    head = r.where("name = 'refs/heads/u1'").select(F.lit("HEAD").alias("name"), "oid", F.lit("refs/heads/u1").alias("symref"))
-    return head.unionByName(r.withColumn("symref", F.lit(None).cast("string")))
+    many = model.refs(spark, sf_dir).select((F.col("oid") % 7).alias("repo"), "name", "oid")
+    heads = many.where("name like 'refs/heads/%'").groupBy("repo").agg(F.min("name").alias("head")).withColumn("head", F.when(F.col("repo") == 3, "refs/heads/none").otherwise(F.col("head")))
+    hidden = many.where("oid % 5 = 0").select("repo", "name").unionByName(heads.where("repo = 4").select("repo", F.col("head").alias("name"))).distinct()
+    peeled = many.where("name like 'refs/tags/%' and oid % 100 = 0").select("oid", (F.col("oid") + 7).alias("peeled")).distinct()
+    return refs.advertise(many, heads, hidden, peeled)
 
 
 def repositories(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -159,20 +175,31 @@ def mode_kinds(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", mode.alias("mode")).withColumn("kind", scalars.mode_kind(F.col("mode")))
 
 
-NAMES = ["refs/heads/ok", "refs/heads", "heads/x", "refs/heads/a..b", "refs/heads/x.lock", "refs/heads/sp ace", "refs/tags/v1@{0}", "refs/heads/.hid", "refs/x/y/z/"]
+#: A piece of every event's name, so that each meets the rule's cases in many places.
+PIECES = ["ok", "a..b", "x.lock", "sp ace", "v1@{0}", ".hid", "y/", "end.", "st*r", "é", "a.lock.b", "@", "b[", "c~1", "d^", "e:f", "back\\slash", "q?", "x.lock/y", "n//m"]
+PIECES_SQL = "[" + ", ".join(f"'{p}'" for p in PIECES) + "]"
 
 
-@query("SELECT event_id, name, name IN ('refs/heads/ok') AS ok FROM (SELECT event_id, ['refs/heads/ok','refs/heads','heads/x','refs/heads/a..b','refs/heads/x.lock','refs/heads/sp ace','refs/tags/v1@{0}','refs/heads/.hid','refs/x/y/z/'][CAST(event_id % 9 AS INT) + 1] AS name FROM events)")
+@query(f"""SELECT event_id, name, starts_with(name, 'refs/') AND len(parts) >= 3 AND NOT list_contains(parts, '') AND len(list_filter(parts, lambda p: starts_with(p, '.') OR ends_with(p, '.lock'))) = 0 AND NOT ends_with(name, '.')
+    AND NOT contains(name, '..') AND NOT contains(name, '@{{') AND translate(name, ' ~^:?*[' || chr(92), '') = name AS ok
+    FROM (SELECT event_id, name, string_split(name, '/') AS parts FROM (SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'refs/heads/' WHEN 1 THEN 'refs/' ELSE 'heads/' END || {PIECES_SQL}[CAST(event_id % 20 AS INT) + 1] || CASE WHEN event_id % 7 = 0 THEN '/' || event_type ELSE '' END AS name FROM events))""")
 def refname_valid(spark, sf_dir):
-    name = F.get(F.array(*map(F.lit, NAMES)), (F.col("event_id") % 9).cast("int"))
+    k = F.col("event_id")
+    start = F.when(k % 3 == 0, "refs/heads/").when(k % 3 == 1, "refs/").otherwise("heads/")
+    name = F.concat(start, F.get(F.array(*map(F.lit, PIECES)), (k % 20).cast("int")), F.when(k % 7 == 0, F.concat(F.lit("/"), "event_type")).otherwise(""))
     return table(spark, sf_dir, "events").select("event_id", name.alias("name")).withColumn("ok", scalars.ref_name_ok(F.col("name")))
 
 
-@query("""SELECT n_name || '/.git' AS path, false AS ok FROM nation UNION ALL SELECT n_name || '/file.txt', true FROM nation UNION ALL SELECT n_name || '//x', false FROM nation""")
+#: Components, and whether a checkout may hold them.
+COMPONENTS = {"file.txt": True, "": False, ".": False, "..": False, ".git": False, ".GIT": False, ".git:x": False, ".git::$INDEX_ALLOCATION": False, ".gi\u200ct": False, ".git . .": False, "git~1": False, "GIT~1 ": False, "git~2": True, ".gitx": True, ".git x": True, "a\\b": False, "...": True, ".gi\u200ct ": True, ".gitmodules": True}
+COMPONENTS_SQL = ", ".join(f"('{name}', {ok})" for name, ok in COMPONENTS.items())
+
+
+@query(f"""SELECT n_name || '/' || name || CASE WHEN n_nationkey % 2 = 0 THEN '/leaf' ELSE '' END AS path, ok FROM nation, (VALUES {COMPONENTS_SQL}) AS c(name, ok)""")
 def path_valid(spark, sf_dir):
-    n = table(spark, sf_dir, "nation")
-    paths = [n.select(F.concat("n_name", F.lit(s)).alias("path")) for s in ("/.git", "/file.txt", "//x")]
-    return paths[0].union(paths[1]).union(paths[2]).withColumn("ok", scalars.path_ok(F.col("path")))
+    n = table(spark, sf_dir, "nation").select("n_name", "n_nationkey", F.explode(F.array(*map(F.lit, COMPONENTS))).alias("name"))
+    path = F.concat("n_name", F.lit("/"), "name", F.when(F.col("n_nationkey") % 2 == 0, "/leaf").otherwise(""))
+    return n.select(path.alias("path")).withColumn("ok", scalars.path_ok(F.col("path")))
 
 
 @query("""SELECT l_orderkey AS source, 'p' || l_partkey AS oid, 'part' AS kind, 'MISSING' AS fault FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_partkey % 5 <> 0)""")
@@ -261,11 +288,10 @@ def first_parent_history(spark, sf_dir):
     return graph.history(model.commits(spark, sf_dir).select("id"), model.edges(spark, sf_dir))
 
 
-@query(MODEL + "SELECT branch, id, n FROM (SELECT branch, id, row_number() OVER (PARTITION BY branch ORDER BY ts DESC, id DESC) AS n FROM commits) WHERE n <= 20")
+@query(MODEL + """SELECT t.oid AS start, id, CAST(n - 1 AS INT) AS place, max(CASE WHEN n = 21 THEN id END) OVER (PARTITION BY branch) AS next_token
+    FROM (SELECT branch, id, row_number() OVER (PARTITION BY branch ORDER BY ts DESC, id DESC) AS n FROM commits QUALIFY n <= 21) JOIN tips t USING (branch) QUALIFY n <= 20""")
 def history_page(spark, sf_dir):
-    depth = graph.history(model.commits(spark, sf_dir).select("id"), model.edges(spark, sf_dir))
-    newest = F.row_number().over(Window.partitionBy("branch").orderBy(F.desc("depth")))
-    return depth.join(model.commits(spark, sf_dir), "id").select("branch", "id", newest.alias("n")).where("n <= 20")
+    return the_graph(spark, sf_dir).list_commits(tips(spark, sf_dir).select(F.col("oid").alias("start")), 20)
 
 
 @query("SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS depth FROM conversations")
@@ -281,27 +307,33 @@ def commit_generation(spark, sf_dir):
     return the_graph(spark, sf_dir).generations()
 
 
-PAIRS = ", pairs AS (SELECT t.oid AS d, c.id AS a FROM tips t JOIN commits c ON c.branch IN (t.branch, t.branch - 1) AND c.id % 20 = 1)\n"
+PAIRS = ", pairs AS (SELECT t.oid AS d, c.id AS a FROM tips t JOIN commits c ON c.branch IN (t.branch, t.branch - 1))\n"
 
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = model.commits(spark, sf_dir).where("id % 20 = 1").select(F.col("id").alias("a"), F.explode(F.array("branch", F.col("branch") + 1)).alias("branch"))
+    c = model.commits(spark, sf_dir).select(F.col("id").alias("a"), F.explode(F.array("branch", F.col("branch") + 1)).alias("branch"))
     return c.join(tips(spark, sf_dir), "branch").select("a", F.col("oid").alias("d"))
 
 
-@query(MODEL + PAIRS + ", seeds AS (SELECT DISTINCT d AS seed, d AS id FROM pairs)" + CLOSURE + "SELECT a, d, EXISTS (SELECT 1 FROM reached r WHERE r.seed = d AND r.id = a) AS is_ancestor FROM (SELECT DISTINCT a, d FROM pairs)")
+@query(MODEL + PAIRS + ", seeds AS (SELECT DISTINCT d AS seed, d AS id FROM pairs)" + CLOSURE + "SELECT a, d, r.id IS NOT NULL AS is_ancestor FROM (SELECT DISTINCT a, d FROM pairs) p LEFT JOIN reached r ON r.seed = p.d AND r.id = p.a")
 def is_ancestor_pairs(spark, sf_dir):
     return the_graph(spark, sf_dir).is_ancestor(pairs(spark, sf_dir))
 
 
-@query(MODEL + """, updates AS (SELECT 'refs/heads/u' || t.branch AS refname, CASE WHEN t.branch % 5 = 0 THEN NULL ELSE o.id END AS old, CASE WHEN t.branch % 7 = 0 THEN NULL ELSE t.oid END AS new
+@query(MODEL + """, moves AS (SELECT 'refs/heads/u' || t.branch AS refname, t.branch, CASE WHEN t.branch % 5 = 0 THEN NULL WHEN t.branch % 13 = 0 THEN t.oid ELSE o.id END AS a, CASE WHEN t.branch % 7 = 0 THEN NULL ELSE t.oid END AS d
     FROM tips t JOIN (SELECT branch, min(id) AS id FROM commits GROUP BY 1) o ON o.branch = t.branch - t.branch % 2)
-, seeds AS (SELECT DISTINCT new AS seed, new AS id FROM updates WHERE new IS NOT NULL)""" + CLOSURE + """SELECT refname, old, new, old IS NOT NULL AND new IS NOT NULL AND NOT EXISTS (SELECT 1 FROM reached r WHERE r.seed = new AND r.id = old) AS force FROM updates""")
+, seeds AS (SELECT DISTINCT d AS seed, d AS id FROM moves WHERE d IS NOT NULL)""" + CLOSURE + """, hops AS (SELECT *, CASE branch % 4 WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 15 ELSE 16 END AS n FROM moves)
+SELECT refname, CASE WHEN n = 0 THEN a ELSE a + n * 1000000000::BIGINT END AS old, d AS new,
+    a IS NOT NULL AND d IS NOT NULL AND (n > 15 OR NOT EXISTS (SELECT 1 FROM reached r WHERE r.seed = d AND r.id = a)) AS force FROM hops""")
 def force_flags(spark, sf_dir):
-    t = tips(spark, sf_dir)
+    b, far = F.col("branch"), F.lit(1_000_000_000).cast("long")
     oldest = model.commits(spark, sf_dir).groupBy(F.col("branch").alias("b")).agg(F.min("id").alias("o"))
-    u = t.join(oldest, F.col("branch") - F.col("branch") % 2 == F.col("b")).select(F.concat(F.lit("refs/heads/u"), "branch").alias("refname"), F.when(F.col("branch") % 5 != 0, F.col("o")).alias("old"), F.when(F.col("branch") % 7 != 0, F.col("oid")).alias("new"))
-    return graph.force_flags(the_graph(spark, sf_dir), u)
+    hops = F.when(b % 4 == 0, 0).when(b % 4 == 1, 1).when(b % 4 == 2, 15).otherwise(16)
+    old = F.when(b % 5 != 0, F.when(b % 13 == 0, F.col("oid")).otherwise(F.col("o")) + hops * far)
+    u = tips(spark, sf_dir).join(oldest, b - b % 2 == F.col("b")).select(F.concat(F.lit("refs/heads/u"), "branch").alias("refname"), old.alias("old"), F.when(b % 7 != 0, F.col("oid")).alias("new"))
+    # each commit has a chain of sixteen tags, one naming the next
+    tags = model.commits(spark, sf_dir).select(F.explode(F.transform(F.sequence(F.lit(1), F.lit(16)), lambda k: F.struct((F.col("id") + k * far).alias("tag"), (F.col("id") + (k - 1) * far).alias("target")))).alias("t")).select("t.*")
+    return graph.force_flags(the_graph(spark, sf_dir), u, tags)
 
 
 @query(MODEL + ", pairs AS (SELECT x.oid AS a, y.oid AS b FROM tips x JOIN tips y ON y.branch = x.branch + 1), seeds AS (SELECT DISTINCT oid AS seed, oid AS id FROM tips)" + CLOSURE + """
@@ -313,13 +345,14 @@ def merge_bases_pairs(spark, sf_dir):
     return the_graph(spark, sf_dir).merge_bases(p)
 
 
-WALK = MODEL + ", seeds AS (SELECT branch % 2 AS seed, oid AS id FROM tips WHERE branch % 10 < 2)" + CLOSURE
+#: Odd branches are wanted, the client has the even ones.
+WALK = MODEL + ", seeds AS (SELECT branch % 2 AS seed, oid AS id FROM tips)" + CLOSURE
 
 
 @query(WALK + "SELECT id FROM reached WHERE seed = 1 EXCEPT SELECT id FROM reached WHERE seed = 0")
 def rev_walk_wants_haves(spark, sf_dir):
     t = tips(spark, sf_dir)
-    return the_graph(spark, sf_dir).between(t.where("branch % 10 = 1").select(F.col("oid").alias("id")), t.where("branch % 10 = 0").select(F.col("oid").alias("id")))
+    return the_graph(spark, sf_dir).between(t.where("branch % 2 = 1").select(F.col("oid").alias("id")), t.where("branch % 2 = 0").select(F.col("oid").alias("id")))
 
 
 @query(MODEL + ", walk AS (SELECT oid AS id, 1 AS depth FROM tips UNION SELECT e.parent, w.depth + 1 FROM walk w JOIN edges e ON e.child = w.id WHERE w.depth < 4) SELECT id, min(depth) AS depth, min(depth) >= 4 AS shallow FROM walk GROUP BY id")
@@ -360,18 +393,22 @@ def cas_atomic(spark, sf_dir):
     return refs.evaluate(updates(spark, sf_dir), model.refs(spark, sf_dir), atomic=True)
 
 
-@query(MODEL + """, u AS (SELECT branch // 10 AS command, branch AS ord, CASE WHEN branch % 9 = 0 THEN 'refs/heads/a..b' WHEN branch % 9 = 1 THEN 'refs/heads/same' ELSE 'refs/heads/u' || branch END AS refname,
-    CASE WHEN branch % 6 = 0 THEN NULL WHEN branch % 6 = 1 THEN -1 ELSE oid END AS new FROM tips)
-SELECT command, ord, refname, CASE WHEN refname = 'refs/heads/a..b' THEN 'INVALID_NAME' WHEN count(*) OVER (PARTITION BY command, refname, new IS NULL) > 1 THEN 'REPEATED_REF'
-    WHEN new IS NULL AND refname = 'refs/heads/u6' THEN 'DELETES_HEAD' WHEN new IS NOT NULL AND kind IS NULL THEN 'MISSING_OBJECT' WHEN kind <> 'commit' THEN 'NON_COMMIT' END AS reason
-    FROM u LEFT JOIN (SELECT id, CASE WHEN id % 3 = 0 THEN 'tag' ELSE 'commit' END AS kind FROM commits) c ON c.id = u.new""")
+@query(MODEL + """, u AS (SELECT branch // 10 AS command, (branch // 10) % 2 = 1 AS atomic, branch AS ord,
+    CASE WHEN branch % 9 = 0 THEN 'refs/heads/a..b' WHEN branch % 9 = 1 THEN 'refs/heads/same' WHEN branch % 9 = 2 THEN 'refs/one' WHEN branch % 10 IN (3, 6) THEN 'refs/heads/again' ELSE 'refs/heads/u' || branch END AS refname,
+    CASE WHEN branch % 6 IN (0, 2) THEN NULL WHEN branch % 6 = 1 THEN -1 ELSE oid END AS new FROM tips),
+own AS (SELECT u.*, CASE
+    WHEN new IS NULL AND refname = 'refs/heads/a..b' THEN 'INVALID_NAME' WHEN new IS NULL AND refname = 'refs/heads/u6' THEN 'DELETES_HEAD'
+    WHEN new IS NOT NULL AND refname IN ('refs/heads/a..b', 'refs/one') THEN 'INVALID_NAME' WHEN new IS NOT NULL AND c.id IS NULL THEN 'MISSING_OBJECT'
+    WHEN new IS NOT NULL AND starts_with(refname, 'refs/heads/') AND c.id % 3 = 0 THEN 'NON_COMMIT' END AS first FROM u LEFT JOIN commits c ON c.id = u.new)
+SELECT command, ord, refname, coalesce(first, CASE WHEN (SELECT count(*) FROM u o WHERE o.command = own.command AND o.refname = own.refname AND (own.atomic OR (o.new IS NULL) = (own.new IS NULL))) > 1 THEN 'REPEATED_REF' END) AS reason FROM own""")
 def push_checks(spark, sf_dir):
     b = F.col("branch")
-    name = F.when(b % 9 == 0, "refs/heads/a..b").when(b % 9 == 1, "refs/heads/same").otherwise(F.concat(F.lit("refs/heads/u"), b))
-    new = F.when(b % 6 == 0, F.lit(None)).when(b % 6 == 1, F.lit(-1)).otherwise(F.col("oid"))
-    u = tips(spark, sf_dir).select(F.floor(b / 10).alias("command"), b.alias("ord"), name.alias("refname"), new.alias("new"))
+    command = F.floor(b / 10)
+    name = F.when(b % 9 == 0, "refs/heads/a..b").when(b % 9 == 1, "refs/heads/same").when(b % 9 == 2, "refs/one").when((b % 10).isin(3, 6), "refs/heads/again").otherwise(F.concat(F.lit("refs/heads/u"), b))
+    new = F.when((b % 6).isin(0, 2), F.lit(None)).when(b % 6 == 1, F.lit(-1)).otherwise(F.col("oid"))
+    u = tips(spark, sf_dir).select(command.alias("command"), (command % 2 == 1).alias("atomic"), b.alias("ord"), name.alias("refname"), new.alias("new"))
     objects = model.commits(spark, sf_dir).select(F.col("id").alias("oid"), F.when(F.col("id") % 3 == 0, "tag").otherwise("commit").alias("kind"))
-    return refs.prechecks(u, scalars.ref_name_ok(F.col("refname")), objects, "refs/heads/u6")
+    return refs.prechecks(u, objects, "refs/heads/u6")
 
 
 @query(MODEL + """, b AS (SELECT branch % 5 AS repo, CASE WHEN branch = 6 THEN 'refs/heads/main' WHEN branch = 7 THEN 'refs/heads/master' ELSE 'refs/heads/u' || branch END AS name FROM tips)

@@ -133,9 +133,9 @@ def tree_round_trip(spark, sf_dir):
     return checks.parse_trees(checks.tree_bytes(f)).withColumn("name", F.col("name").cast("string"))
 
 
-@query(MODEL + ", walk AS (SELECT oid AS id, 0 AS depth FROM tips WHERE branch % 10 = 0 UNION SELECT e.parent, w.depth + 1 FROM walk w JOIN edges e ON e.child = w.id WHERE w.depth < 3) SELECT id, min(depth) AS depth, min(depth) >= 3 AS shallow FROM walk GROUP BY id HAVING min(depth) > 0")
+@query(MODEL + ", walk AS (SELECT oid AS id, 0 AS depth FROM tips WHERE branch % 2 = 0 UNION SELECT e.parent, w.depth + 1 FROM walk w JOIN edges e ON e.child = w.id WHERE w.depth < 3) SELECT id, min(depth) AS depth, min(depth) >= 3 AS shallow FROM walk GROUP BY id HAVING min(depth) > 0")
 def deepen_relative(spark, sf_dir):
-    return graph.deepen_relative(model.edges(spark, sf_dir), tips(spark, sf_dir).where("branch % 10 = 0").select(F.col("oid").alias("id")), 3)
+    return graph.deepen_relative(model.edges(spark, sf_dir), tips(spark, sf_dir).where("branch % 2 = 0").select(F.col("oid").alias("id")), 3)
 
 
 @query("""SELECT o_custkey AS repo, CASE WHEN count(*) >= 20 THEN 'count' WHEN sum(o_orderkey % 1000) >= 8000 THEN 'bytes' WHEN 100000 - min(o_orderkey) >= 99000 THEN 'age' END AS due FROM orders GROUP BY 1""")

@@ -5,7 +5,7 @@ from duck import assert_same
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from heddle import registry
+from heddle import registry, registry_more  # noqa: F401
 from heddle.functions import scalars
 from heddle.operators import checks, graph, maintain, refs, trees
 from heddle.plans.components import stars
@@ -91,6 +91,7 @@ def test_pages(spark):
 
 
 def test_runs():
+    # What the compaction rule gives for these sizes.
     cases = {
         ((100, 1, 1, 1), 1): [],
         ((1000, 10, 10, 10, 10), 1): [(1, 5)],
@@ -103,6 +104,125 @@ def test_runs():
     assert {k: maintain.pick_runs(list(k[0]), 4, k[1]) for k in cases} == cases
 
 
+def test_runs_of_any_sizes():
+    import random
+
+    rng = random.Random(1)
+    for _ in range(500):
+        sizes, factor, floor = [int(10 ** rng.uniform(0, 4)) for _ in range(rng.randint(0, 40))], rng.randint(2, 6), rng.choice([1, 10, 100])
+        runs = maintain.pick_runs(sizes, factor, floor)
+        assert all(b - a >= factor for a, b in runs) and all(b <= c for (_, b), (c, _) in zip(runs, runs[1:]))
+        for a, b in runs:  # no longer than it must be, unless its bytes allow for it
+            largest = max(floor, *sizes)
+            assert b - a == factor or sum(sizes[a:b]) <= factor * largest
+        merged = sizes
+        for _ in range(60):  # merging ends, with fewer than `factor` layers in any class
+            found = maintain.pick_runs(merged, factor, floor)
+            if not found:
+                break
+            for a, b in reversed(found):
+                merged = [*merged[:a], sum(merged[a:b]), *merged[b:]]
+        assert not found and sum(merged) == sum(sizes)
+
+
+def test_compaction_of_repositories(spark):
+    rows = [(r, k, b) for r, sizes in (("a", [1] * 9), ("b", [5]), ("c", [100, 1, 1, 1, 1])) for k, b in enumerate(sizes)]
+    got = maintain.compaction_runs(spark.createDataFrame(rows, "repo string, seq long, bytes long"), 4, 1).collect()
+    assert {tuple(r) for r in got} == {(r, a, b - 1, b - a) for r, s in (("a", [1] * 9), ("b", [5]), ("c", [100, 1, 1, 1, 1])) for a, b in maintain.pick_runs(s, 4, 1)}
+
+
+def test_prechecks_in_order(spark):
+    updates = [(1, False, 1, "refs/heads/a", 7), (1, False, 2, "refs/heads/a", 7), (2, False, 1, "refs/heads/b", None), (2, False, 2, "refs/heads/b", 5), (3, True, 1, "refs/heads/b", None), (3, True, 2, "refs/heads/b", 5), (4, False, 1, "refs/one", None), (4, False, 2, "refs/one", 5), (5, False, 1, "refs/heads/main", None), (5, False, 2, "refs/heads/main", None), (6, False, 1, "refs/heads/t", 6), (6, False, 2, "refs/tags/t", 6)]
+    df = spark.createDataFrame(updates, "command int, atomic boolean, ord int, refname string, new int")
+    objects = spark.createDataFrame([(5, "commit"), (6, "tag")], "oid int, kind string")
+    got = {(r.command, r.ord): r.reason for r in refs.prechecks(df, objects, "refs/heads/main").collect()}
+    assert got == {
+        (1, 1): "MISSING_OBJECT", (1, 2): "MISSING_OBJECT", (2, 1): None, (2, 2): None, (3, 1): "REPEATED_REF", (3, 2): "REPEATED_REF", (4, 1): None, (4, 2): "INVALID_NAME",
+        (5, 1): "DELETES_HEAD", (5, 2): "DELETES_HEAD", (6, 1): "NON_COMMIT", (6, 2): None,
+    }
+
+
+def test_names_like_gitmodules(spark):
+    cases = {".gitmodules": True, ".GITMODULES . ": True, ".gitmodules:x": True, ".gitmodu\u200cles": True, "gitmod~1": True, "gitmod~4": True, "gitmod~5": False, "gi7eba~1": True, "gi7e~123": True, "~1234567": True, "~0234567": False, "gi7eba~0": False, "gi7ebb~1": False, ".gitmodulesx": False, "a\\.gitmodules": True}
+    got = spark.createDataFrame([(c,) for c in cases], "c string").select("c", scalars.like_dot_gitmodules(F.col("c")).alias("f")).collect()
+    assert {r.c: r.f for r in got} == cases
+
+
+def test_tree_entries_in_order(spark):
+    from heddle.operators import lifecycle
+
+    rows = [("t", 0, "100644", "b", "1"), ("t", 1, "100644", "a", "1"), ("t", 2, "120000", ".gitmodules", "1"), ("u", 0, "100644", "a", "1"), ("u", 1, "40000", "a", "2"), ("v", 0, "100644", "a.b", "1"), ("v", 1, "40000", "a", "1"), ("w", 0, "40000", "a", "1"), ("w", 1, "100644", "a.b", "1")]
+    got = lifecycle.tree_faults(spark.createDataFrame(rows, "tree string, ord int, mode string, name string, oid string")).collect()
+    assert {(r.tree, r.ord): r.fault for r in got} == {("t", 1): "OUT_OF_ORDER", ("t", 2): "GITMODULES_LINK", ("u", 0): "DUPLICATE", ("u", 1): "DUPLICATE", ("w", 1): "OUT_OF_ORDER"}
+
+
+def test_pages_of_a_history(spark, criss_cross):
+    page = lambda start, n: sorted((r.place, r.id, r.next_token) for r in criss_cross.list_commits(spark.createDataFrame([(start,)], "start long"), n).collect())
+    assert page(7, 2) == [(0, 7, 3), (1, 5, 3)] and page(3, 2) == [(0, 3, None), (1, 1, None)] and page(6, 1) == [(0, 6, 4)]
+    with pytest.raises(ValueError):
+        page(100, 1)
+
+
+def test_prefixes_past_counting():
+    assert str(refs.with_prefix(F.col("n"), ["a"] * 65_536)) == str(F.lit(True)) == str(refs.with_prefix(F.col("n"), []))
+
+
+def test_whole_listing_is_told_apart_from_a_cut_one(spark):
+    rows = spark.createDataFrame([(b"b",), (b"a\xff",), (b"a",)], "path binary")
+    assert [(r.path, r.truncated) for r in trees.in_path_order(rows, 2).collect()] == [("a", True), ("a\ufffd", True)]
+    assert [r.truncated for r in trees.in_path_order(rows, 3).collect()] == [False] * 3
+
+
+def test_ids_run_out(spark):
+    rows = [("r", 1, 3), ("r", 2, 0), ("r", 3, 4), ("r", 4, 9), ("s", 1, 10)]
+    got = maintain.dense_ids(spark.createDataFrame(rows, "repo string, seq int, objects long"), 10).collect()
+    assert {(r.repo, r.seq): r.first_id for r in got} == {("r", 1): 0, ("r", 2): None, ("r", 3): 3, ("r", 4): None, ("s", 1): 0}
+
+
+def test_stateful_fold(spark, tmp_path):
+    batches = [[("r", "a", "1", 1), ("r", "b", "2", 3)], [("r", "a", None, 2), ("s", "x", "9", 1), ("r", "b", "2", 3)], [("s", "y", "8", 3)]]
+    for k, rows in enumerate(batches):
+        spark.createDataFrame(rows, feed.CHANGES).coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
+    got = []
+    stream = feed.folded(feed.follow(spark, f"{tmp_path}/in/*", 1)).writeStream.outputMode("update").foreachBatch(lambda df, _: got.extend(df.collect()))
+    stream.option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start().awaitTermination(120)
+    last = {r.repo: (r.version, r.refs, r.applied, r.waiting) for r in sorted(got, key=lambda r: (r.applied, r.waiting))}
+    assert last == {"r": (3, 1, 3, 0), "s": (1, 1, 1, 1)}
+
+
+def test_feed_from_a_state(spark):
+    state = spark.createDataFrame([("r", "a", "1", 4)], feed.CHANGES)
+    changes = spark.createDataFrame([("r", "a", "0", 3), ("r", "b", "2", 5), ("s", "x", "9", 1)], feed.CHANGES)
+    got = sorted((r.part, r.repo, r.name) for r in feed.from_state(state, changes).collect())
+    assert got == [(0, "r", "a"), (1, "r", "b"), (1, "s", "x")]
+
+
+def test_post_receive_only_logs(spark, caplog):
+    from heddle.operators import hooks
+
+    rows = spark.createDataFrame([(1, 2, "b", None, "2", None), (1, 1, "a", None, "1", None), (2, 1, "c", None, "1", "STALE_OLD_VALUE")], "push int, ord int, refname string, old string, new string, reason string")
+    told = []
+    hooks.post_receive(lambda df: told.extend(df.collect()))(rows, 0)
+    assert [(r.push, [c.refname for c in r.commands]) for r in told] == [(1, ["a", "b"])]
+    hooks.post_receive(lambda df: 1 / 0)(rows, 1)
+    assert "post-receive of batch 1 failed" in caplog.text
+
+
+def test_command_line(spark, capsys):
+    from heddle.__main__ import main
+
+    assert main([SF, "repo", "list", "--prefix", "Customer-0000000", "--limit", "3"], spark) == 0
+    assert capsys.readouterr().out.split("\n")[0].startswith("Customer-000000001\tFalse")
+    assert main([SF, "repo", "get", "Customer-000000007"], spark) == 1 and main([SF, "repo", "get"], spark) == 2
+    assert main([SF, "refs", "--prefix", "refs/tags/"], spark) == 0 and "refs/tags/" in capsys.readouterr().out
+    assert main([SF, "diff", "--limit", "2"], spark) == 0 and len(capsys.readouterr().out.split()) > 2
+
+
+def test_filters_of_objects(spark):
+    with pytest.raises(ValueError):
+        checks.filtered(spark.createDataFrame([("blob", 1, False)], "kind string, size long, wanted boolean"), "sparse:oid=x")
+
+
 def test_feed(spark, tmp_path):
     rows = [("r", "a", "1", 1), ("r", "b", "2", 2), ("r", "a", "3", 3)]
     for k, r in enumerate(rows):
