@@ -122,16 +122,22 @@ class Graph:
         token = F.max(F.when(F.col("place") == size, F.col("id"))).over(Window.partitionBy("start"))
         return out.withColumn("next_token", token).where(F.col("place") < size).select("start", "place", "id", "next_token")
 
-    def generations(self) -> DataFrame:
-        """(id, generation): 1 for a root, else one more than the largest of its parents."""
+    def generations(self, block: int = 1 << 16) -> DataFrame:
+        """(id, generation): 1 for a root, else one more than the largest of its parents.
+
+        Chains are passed over in blocks of places, each sorted by itself; what the blocks before hold at most is carried in.
+        """
         cross = materialize(self.cross.select("child", "parent", "c_chain", "c_pos", "p_chain", "p_pos", F.lit(0).cast("long").alias("lead")), "leads")
 
         def best(asks: DataFrame, leads: DataFrame) -> DataFrame:
             """The largest lead at or before each asked place of a chain."""
             rows = leads.select(F.col("c_chain").alias("chain"), F.col("c_pos").alias("pos"), F.lit(0).alias("rank"), "lead", F.lit(None).cast(asks.schema["ask"].dataType).alias("ask"))
-            rows = rows.unionByName(asks.select("chain", "pos", F.lit(1).alias("rank"), F.lit(None).cast("long").alias("lead"), "ask"))
-            top = F.max("lead").over(Window.partitionBy("chain").orderBy("pos", "rank").rowsBetween(Window.unboundedPreceding, 0))
-            return rows.select("ask", "chain", "pos", "rank", F.greatest(F.coalesce(top, F.lit(0)), F.lit(0)).alias("best")).where("rank = 1")
+            rows = rows.unionByName(asks.select("chain", "pos", F.lit(1).alias("rank"), F.lit(None).cast("long").alias("lead"), "ask")).withColumn("block", F.floor(F.col("pos") / block))
+            before = Window.partitionBy("chain").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+            carried = rows.groupBy("chain", "block").agg(F.max("lead").alias("most")).select("chain", "block", F.max("most").over(before).alias("carried"))
+            top = F.max("lead").over(Window.partitionBy("chain", "block").orderBy("pos", "rank").rowsBetween(Window.unboundedPreceding, 0))
+            met = rows.withColumn("top", top).where("rank = 1").join(carried, ["chain", "block"])
+            return met.select("ask", "chain", "pos", F.greatest(F.coalesce("top", F.lit(0)), F.coalesce("carried", F.lit(0)), F.lit(0)).alias("best"))
 
         while True:
             asks = cross.select(F.struct("child", "parent", "c_chain", "c_pos", "p_chain", "p_pos").alias("ask"), F.col("p_chain").alias("chain"), F.col("p_pos").alias("pos"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -79,6 +80,37 @@ def topological(generations: DataFrame, packed: DataFrame) -> DataFrame:
     return generations.join(packed, "id").select("id", "generation", "place").orderBy("generation", "place")
 
 
+def push_order(commits: DataFrame) -> DataFrame:
+    """(push, id, nth): the order in which each push's commits are taken in; a cycle is an error.
+
+    ``commits``: push, id, place (in the push's pack), parents (null: none; those of other pushes don't count).  A commit
+    follows all its parents, and directly follows the last of them unless siblings that became free with it, or what
+    follows from those, come earlier in the pack.  A push is one pack, so one task holds the ids of one pack.
+    """
+    kind = commits.schema["id"].dataType.simpleString()
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = sorted(zip(*(table.column(c).to_pylist() for c in ("place", "id", "parents")), strict=True), key=lambda r: r[0], reverse=True)
+        here = {oid for _, oid, _ in rows}
+        waits = {oid: {p for p in parents or () if p in here} for _, oid, parents in rows}
+        children: dict = {oid: [] for oid in here}
+        for _, oid, _ in rows:  # last in the pack first, as what is added last is taken first
+            for parent in waits[oid]:
+                children[parent].append(oid)
+        free, order = [oid for _, oid, _ in rows if not waits[oid]], []
+        while free:
+            order.append(free.pop())
+            for child in children[order[-1]]:
+                waits[child].discard(order[-1])
+                if not waits[child]:
+                    free.append(child)
+        if len(order) < len(rows):
+            raise ValueError("the commits of a push form a cycle")
+        return pa.table({"push": pa.array([table.column("push")[0].as_py()] * len(order), table.schema.field("push").type), "id": pa.array(order, table.schema.field("id").type), "nth": pa.array(range(len(order)), pa.int64())})
+
+    return commits.select("push", "id", "place", "parents").groupBy("push").applyInArrow(run, f"push {commits.schema['push'].dataType.simpleString()}, id {kind}, nth long")
+
+
 def created(existing: DataFrame, asked: DataFrame) -> DataFrame:
     """Repositories (repo, head) that a batch of creates adds to those there; a key that lives, or comes twice, is created once.
 

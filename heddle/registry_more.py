@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from heddle.functions import scalars
 from heddle.operators import checks, graph, hooks, lifecycle, maintain, state, trees
 from heddle.registry import LEVELS, MODEL, SNAPSHOTS, query, snapshots, tips
-from heddle.sources import model
+from heddle.sources import model, packs
 from heddle.sources.model import table
 
 
@@ -221,6 +221,19 @@ def object_filters(spark, sf_dir):
     return out
 
 
+@query(MODEL + "SELECT DISTINCT oid, 'blob' AS kind, size FROM files")
+def packed_objects(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select(scalars.blob_id(F.col("text")).alias("oid"), F.lit("blob").alias("kind"), F.col("text").cast("binary").alias("content"))
+    return packs.read_packs(packs.write_packs(d, 4 << 20)).select("oid", "kind", "size")
+
+
+@query()
+def push_order(spark, sf_dir):
+    c = model.commits(spark, sf_dir).select(F.floor(F.col("branch") / 10).alias("push"), "id", F.col("id").alias("place"))
+    parents = model.edges(spark, sf_dir).groupBy(F.col("child").alias("id")).agg(F.collect_list("parent").alias("parents"))
+    return lifecycle.push_order(c.join(parents, "id", "left"))
+
+
 @query()
 def compaction_runs(spark, sf_dir):
     layers = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 100).alias("repo"), F.col("o_orderkey").alias("seq"), F.floor("o_totalprice").alias("bytes"))

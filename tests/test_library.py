@@ -45,6 +45,30 @@ def test_ancestry_and_generations(spark, criss_cross):
     assert {r.id: r.generation for r in criss_cross.generations().collect()} == {1: 1, 2: 2, 3: 2, 4: 3, 5: 3, 6: 4, 7: 4, 9: 1}
 
 
+def test_generations_across_blocks(spark):
+    import random
+
+    rng, rows, want = random.Random(3), [], {}
+    for k in range(200):
+        parents = sorted({p for p in (k - 3, rng.randrange(k) if k and rng.random() < 0.3 else -1) if p >= 0}, reverse=True)
+        rows += [(k, p, n) for n, p in enumerate(parents)]
+        want[k] = 1 + max((want[p] for p in parents), default=0)
+    g = graph.Graph(spark.range(200), spark.createDataFrame(rows, "child long, parent long, ord int"))
+    for block in (1, 7, 1 << 16):
+        assert {r.id: r.generation for r in g.generations(block).collect()} == want
+
+
+def test_push_order(spark):
+    from heddle.operators import lifecycle
+
+    # 1 is the parent of 4 and 5, 2 of 5; 3 stands alone and 6 follows 4; pack order is that of places
+    rows = [("p", 1, 0, None), ("p", 2, 1, []), ("p", 3, 2, [99]), ("p", 4, 3, [1]), ("p", 5, 4, [1, 2, 2]), ("p", 6, 5, [4]), ("q", 8, 0, [7]), ("q", 7, 1, None)]
+    order = lambda rows: {p: [r.id for r in sorted(got, key=lambda r: r.nth) if r.push == p] for got in [lifecycle.push_order(spark.createDataFrame(rows, "push string, id long, place int, parents array<long>")).collect()] for p in ("p", "q")}
+    assert order(rows) == {"p": [1, 4, 6, 2, 5, 3], "q": [7, 8]}
+    with pytest.raises(Exception, match="cycle"):
+        order([("p", 1, 0, [2]), ("p", 2, 1, [1])])
+
+
 def test_deepen(spark):
     edges = spark.createDataFrame([(k, k - 1, 0) for k in range(2, 12)], "child long, parent long, ord int")
     want = spark.createDataFrame([(11,)], "id long")
