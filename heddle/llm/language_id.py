@@ -20,7 +20,6 @@ columns are ignored; texts are taken whole.
 from __future__ import annotations
 
 import re
-import sys
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -34,9 +33,8 @@ from pyspark.sql import functions as F
 from heddle.llm.arrow import slices, texts_of
 
 UNKNOWN = "und"
-#: What ``\w`` takes beside letters, digits and the underscore: fractions, superscripts, numbers in circles and such.
-_NUMERIC = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
-_WORDS = re.compile(rf"[^\W\d_{_NUMERIC}]+")
+#: Runs of letters and of what ``\w`` takes beside letters, digits and the underscore: fractions, superscripts, numbers in circles and such.
+_RUNS = re.compile(r"[^\W\d_]+")
 MEMO_WORDS = 200_000
 
 
@@ -48,7 +46,11 @@ def subwords(word: str, buckets: int) -> list[int]:
 
 
 def words(text: str) -> list[str]:
-    return _WORDS.findall(text.lower())
+    """Runs of letters by their Unicode category, in lower case."""
+    runs = _RUNS.findall(text.lower())
+    if all(map(str.isalpha, runs)):
+        return runs
+    return [w for run in runs for w in ([run] if run.isalpha() else "".join(c if c.isalpha() else " " for c in run).split())]
 
 
 @dataclass(frozen=True)
