@@ -143,23 +143,43 @@ def scan(df: DataFrame, owner: Column, repository: Column, id_col: str = "doc_id
     )
 
 
+def blanked(text: Column, spans: Column, mask: str) -> Column:
+    """``text`` with ``mask`` for its spans (at least one, sorted); those that overlap are blanked as one.
+
+    ``PART`` spans at a time: each part cuts its own piece from the text, and the pieces are joined at the end.
+    """
+    step = "struct<at:int,out:string>"
+
+    def piece(x: Column) -> Column:
+        def on(a: Column, s: Column) -> Column:
+            shown = F.concat(a["out"], F.substring(x["piece"], a["at"] - x["from"] + 1, s["start"] - a["at"]), F.lit(mask))
+            return F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.when(s["start"] >= a["at"], shown).otherwise(a["out"]).alias("out")).cast(step)
+
+        return F.aggregate(x["part"], F.struct(x["from"].alias("at"), F.lit("").alias("out")).cast(step), on, lambda a: a["out"])
+
+    def joined(m: Column) -> Column:
+        def cut(part: Column, k: Column) -> Column:
+            start = F.get(m["bounds"], k)
+            return F.struct(part.alias("part"), start.alias("from"), F.substring(text, start + 1, F.get(m["bounds"], k + 1) - start).alias("piece"))
+
+        tail = F.substring(text, F.element_at(m["bounds"], -1) + 1, F.length(text))
+        return F.concat(F.array_join(F.transform(F.transform(m["parts"], cut), piece), ""), tail)
+
+    parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(spans) - 1) / PART).cast("int")), lambda k: F.slice(spans, k * PART + 1, F.lit(PART)))
+    furthest = lambda part: F.aggregate(part, F.lit(0), lambda n, s: F.greatest(n, s["end"]))
+    # where each part ends: the furthest end so far
+    bounds = lambda p: F.aggregate(p, F.array(F.lit(0)), lambda out, part: F.array_append(out, F.greatest(F.element_at(out, -1), furthest(part))))
+    both = F.transform(F.array(parts), lambda p: F.struct(p.alias("parts"), bounds(p).alias("bounds")))
+    return F.transform(both, joined)[0]
+
+
 def redact(df: DataFrame, owner: Column, repository: Column, text_col: str = "text", example_owners: int = 3, mask: str = "[SECRET]", chars_col: str | None = "n_chars") -> DataFrame:
     """All rows, with the live secrets of their texts replaced by ``mask``; same columns."""
     names = df.columns
     some = F.coalesce(F.col(text_col).rlike("|".join(f"(?:{p})" for p in (ASSIGN, ACCESS, HEX, *MORE.values()))), F.lit(False))
     rows = df.where(some).select(F.struct(*names).alias("_in"), F.col(text_col).alias("_t"), _found(F.col(text_col)).alias("found"), owner.alias("owner"), repository.alias("repository"))
     hits = scanned(rows, example_owners)
-    kind = "struct<at:int,out:string>"
-    blank = F.aggregate(
-        "live",
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda a, s: F.struct(
-            F.greatest(a["at"], s["end"]).alias("at"),
-            F.when(s["start"] >= a["at"], F.concat(a["out"], F.substring(F.col("_t"), a["at"] + 1, s["start"] - a["at"]), F.lit(mask))).otherwise(a["out"]).alias("out"),
-        ).cast(kind),
-        lambda a: F.concat(a["out"], F.substring(F.col("_t"), a["at"] + 1, F.length("_t"))),
-    )
-    text = F.when(F.size("live") > 0, blank).otherwise(F.col("_t"))
+    text = F.when(F.size("live") > 0, blanked(F.col("_t"), F.col("live"), mask)).otherwise(F.col("_t"))
     new = {text_col: text} | ({chars_col: F.when(F.size("live") > 0, F.length(text).cast(df.schema[chars_col].dataType)).otherwise(F.col("_in")[chars_col])} if chars_col in names else {})
     changed = hits.select(*(new.get(c, F.col("_in")[c]).alias(c) for c in names))
     return changed.unionByName(df.where(~some))
