@@ -22,9 +22,14 @@ SYMBOLS = "#*$%&|<>"
 #: Marks between the entries of menus and link bars.
 BARS = "|»›•·"
 TERMINAL = ".!?…:;\"'”’»)]"
+#: Phrases of notices about scripts, cookies, rights and newsletters, in lower case.
 BOILERPLATE = [
     "enable javascript", "javascript is disabled", "javascript is required", "uses cookies", "cookie policy", "privacy policy",
     "terms of use", "terms of service", "all rights reserved", "lorem ipsum", "click here", "subscribe to our newsletter",
+    "activez javascript", "utilise des cookies", "politique de confidentialité", "conditions d'utilisation", "mentions légales", "tous droits réservés", "cliquez ici",
+    "javascript aktivieren", "verwendet cookies", "datenschutzerklärung", "nutzungsbedingungen", "alle rechte vorbehalten", "hier klicken", "newsletter abonnieren",
+    "active javascript", "utiliza cookies", "política de privacidad", "condiciones de uso", "aviso legal", "todos los derechos reservados", "haga clic aquí",
+    "включите javascript", "использует файлы cookie", "политика конфиденциальности", "пользовательское соглашение", "все права защищены", "нажмите здесь", "подпишитесь на рассылку",
 ]
 MIN_WORDS, MAX_REPEATED, MIN_KEPT = 50, 50, 60
 
@@ -48,12 +53,17 @@ def bound(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def has_phrase(text: Column) -> Column:
+    """Whether a boilerplate phrase is in the text, in any case."""
+    return bound(F.lower(text), lambda low: F.exists(F.array(*map(F.lit, BOILERPLATE)), lambda b: low.contains(b)))
+
+
 def signs(text: Column) -> Column:
     """What a text must have for some of its lines to fail by the rules that cost most.
 
     Of a line more than half of whose characters are capitals, two follow each other.
     """
-    boilerplate = bound(F.lower(text), lambda low: F.exists(F.array(*map(F.lit, BOILERPLATE)), lambda b: low.contains(b)))
+    boilerplate = has_phrase(text)
     return F.struct(
         text.rlike(any_of(BARS)).alias("bars"), text.rlike(any_of(SYMBOLS)).alias("symbols"), text.rlike(r"\p{Lu}[\x20\x09-\x0D]*\p{Lu}").alias("capitals"), boilerplate.alias("boilerplate")
     )
@@ -65,7 +75,7 @@ def line_fails(line: Column, has: Column) -> Column:
     bars, symbols = count_of(line, BARS), count_of(line, SYMBOLS)
     capitals = F.length(line) - F.length(F.regexp_replace(line, r"\p{Lu}", ""))
     last = F.right(F.rtrim(line, F.lit(BLANKS)), F.lit(1))
-    phrase = F.exists(F.array(*map(F.lit, BOILERPLATE)), lambda b: F.lower(line).contains(b))
+    phrase = has_phrase(line)
     return (
         (has["bars"] & (bars >= 3) & (bars * 4 > gaps))
         | (has["symbols"] & (symbols * 2 > gaps + 1))

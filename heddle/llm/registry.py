@@ -125,8 +125,7 @@ WITH d AS (
     SELECT rid, count(*) - count(DISTINCT x) AS n_dup_lines,
         sum(CASE WHEN (bars >= 3 AND bars * 4 > gaps) OR symbols * 2 > gaps + 1 OR (solid >= 20 AND capitals * 2 > solid)
             OR (gaps < 3 AND NOT regexp_matches(x, '[.!?…:;"''”’»)\]][\x20\x09-\x0D]*\z'))
-            OR len(list_filter(['enable javascript', 'javascript is disabled', 'javascript is required', 'uses cookies', 'cookie policy', 'privacy policy',
-                'terms of use', 'terms of service', 'all rights reserved', 'lorem ipsum', 'click here', 'subscribe to our newsletter'], lambda b: contains(lower(x), b))) > 0
+            OR len(list_filter([PHRASES], lambda b: contains(lower(x), b))) > 0
             THEN 0 ELSE solid END) AS kept_chars
     FROM judged GROUP BY rid
 ), counts AS (
@@ -140,7 +139,7 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS
     n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
     NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 100 * kept_chars >= 60 * word_chars AS kept
 FROM counts
-"""
+""".replace("PHRASES", ", ".join("'" + b.replace("'", "''") + "'" for b in quality.BOILERPLATE))
 
 
 #: In `documents` a source owns its texts, and its texts in one language are a repository.

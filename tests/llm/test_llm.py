@@ -256,6 +256,14 @@ def test_quality(spark):
     assert (x.kept == (x.quality == 1)).mean() > 0.95
 
 
+def test_boilerplate_in_several_languages(spark):
+    good = " ".join(f"word{k}" for k in range(60)) + "."
+    notes = ["Please read our Privacy Policy before you go on, dear reader.", "Veuillez lire notre Politique de Confidentialité avant tout.", "Bitte lesen Sie unsere DATENSCHUTZERKLÄRUNG, bevor Sie weiterlesen.", "Todos los derechos reservados por el autor de esta obra.", "Все права защищены, см. условия ниже по тексту."]
+    df = spark.createDataFrame([(k, f"{good}\n{n}\nAnd more of it, as it is not over yet.") for k, n in enumerate(notes)] + [(9, good)], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in quality.clean(df).collect()}
+    assert got == {k: f"{good}\nAnd more of it, as it is not over yet." for k in range(len(notes))} | {9: good}
+
+
 def spans(t):
     assign = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
     found = [(m.start(), 0, m.end()) for m in assign.finditer(t) if len(m[2]) >= 6]
