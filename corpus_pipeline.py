@@ -20,7 +20,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, by five-word shingles."""
+    """One document of each group of near-duplicates, by SimHash of five-word shingles and verified similarity."""
     return simhash.keep_one(docs, size=5, similarity=0.8)
 
 

@@ -18,13 +18,23 @@ def shingles(words: list[bytes], size: int) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh64_intdigest, joined, repeat(SEED)), np.uint64)
 
 
-def of_hashes(h: np.ndarray) -> int:
-    """Unsigned SimHash of shingle hashes; zero of none."""
+def ones_of(h: np.ndarray) -> np.ndarray:
+    """For each of the 64 bits the number of hashes that have it."""
     ones = np.zeros(64, np.int64)
     for start in range(0, len(h), 1 << 14):
         part = h[start : start + (1 << 14)].astype("<u8")
         ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0])
+    return ones
+
+
+def of_ones(ones: np.ndarray, many: int) -> int:
+    """Unsigned SimHash of so many hashes: a bit is 1 if over half have it."""
+    return int(np.packbits(2 * ones > many, bitorder="little").view("<u8")[0])
+
+
+def of_hashes(h: np.ndarray) -> int:
+    """Unsigned SimHash of shingle hashes; zero of none."""
+    return of_ones(ones_of(h), len(h))
 
 
 def find(root: dict[int, int], x: int) -> int:

@@ -179,10 +179,10 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of ``df`` with one row left of each group of similar texts: that of the smallest id.
 
-    Texts are linked by the share of their distinct shingles in common (see ``similar``), through
-    others too.  Rows with a null id are kept.  Of several rows with the id that stays, one is kept.
+    Texts are linked by the share of their distinct shingles in common, through others too: those with
+    fingerprints within ``RADIUS`` bits by ``near_pairs``, those further apart as ``similar`` says.  Rows with a null id are kept.  Of several rows with the id that stays, one is kept.
     """
-    rows, labels = similar.grouped(df.select(*df.columns), text_col, size, similarity)
+    rows, labels = similar.grouped(df.select(*df.columns), text_col, size, similarity, near_pairs)
     ids = rows.select("row", F.col("rec")[id_col].alias("id")).where("id is not null")
     named = ids.join(labels.hint("merge"), F.col("row") == F.col("at")).select("row", "id", "label")
     stays = named.groupBy("label").agg(F.min(F.struct("id", "row")).alias("best"), F.count("*").alias("many")).where("many > 1")

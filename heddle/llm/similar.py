@@ -1,19 +1,28 @@
 """Links between texts whose word shingles are similar, for any share of common shingles.
 
+The steps are those of ``simhash``, for sets of shingles.  Each distinct set has its SimHash
+fingerprint, and ``near_pairs`` links fingerprints within two bits through its table of distances to references.
 Texts of a similarity near 0.8 have fingerprints that differ in up to 14 of 64 bits
-on the test tables.  Pivot tables discard nothing at such a distance, so candidates
-come from minimum hashes instead: 20 bands of five bring a pair of similarity
-0.8 together with a chance of 0.9996.  Set sizes discard candidates (exactly: the smaller set is at
-least 0.8 of the larger one), and each one left is verified on the whole sets of shingles.
-Fingerprints count repeated shingles, which the sets do not, so they discard nothing.
+on the test tables, where no such table finds them.  So that they are linked too, texts meet in two ways:
 
-Texts with equal sets collapse first.  Texts with one key in a band are a group.  A first pass
+- in a component of near fingerprints; every link in one is found;
+- in one of 20 bands of five minimum hashes, which bring a pair of similarity 0.8 together with a chance of 0.9996.
+
+However two texts meet, they pass a second table of distances and a verification.  Sets are at a distance of the number
+of shingles that only one of them has, which obeys the triangle inequality.  Reference k holds all
+shingles whose hash has no bit k; a set of n shingles, of which c have the bit, is 2c - n further from it than the empty set.
+These 64 numbers are the sums that SimHash takes its signs of; n is the distance to a 65th, empty reference.  Sets with a share of
+``similarity`` in common are at most (1 - similarity) / (1 + similarity) times their sizes' sum apart, so pairs whose maximum
+coordinate difference is larger are discarded, and no link is lost by it.  The rest are
+verified on the whole sets of shingles.
+
+Texts with equal sets collapse first.  Texts that meet in one way are a group.  A first pass
 links the bulk of large groups cheaply: one with more than ``CROWD`` texts is dealt at random into parts of
-about that size, differently for each band, and all its texts are compared with its first one as
+about that size, differently for each way, and all its texts are compared with its first one as
 well; a part of more than four texts gives a spanning forest of the closest fingerprints.
 
 What that leaves is then exhausted.  Groups whose texts are in several trees of verified links
-are dealt into tiles, in which every pair from different trees is verified until
+are dealt into tiles, in which every pair from different trees passes table and verification until
 it is joined by verified links or found dissimilar.  The texts of a group's largest tree are not
 compared with each other, so a group of near copies costs its size times that of the
 rest.  A group of many texts just below the threshold costs all its pairs.
@@ -21,17 +30,17 @@ rest.  A group of many texts just below the threshold costs all its pairs.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 from heddle.llm.arrow import slices, texts_of, words_of
-from heddle.llm.shingles import find, forest, of_hashes, shingles
+from heddle.llm.shingles import find, forest, of_ones, ones_of, shingles
 from heddle.plans.components import stars
 from heddle.plans.durable import materialize
 
@@ -54,27 +63,33 @@ def bands(distinct: np.ndarray) -> list[int]:
 
 
 def sketches(df: DataFrame, text_col: str, size: int) -> DataFrame:
-    """The rows of ``df`` as ``rec``, with digest of the shingle set, fingerprint, set size and band keys."""
+    """The rows of ``df`` as ``rec``, with digest of the shingle set, its fingerprint, size, distances to the references and band keys."""
     rows = df.select(F.struct(*df.columns).alias("rec"), F.col(text_col).alias("text"))
-    more = [StructField("digest", StringType()), StructField("fp", LongType()), StructField("n", LongType()), StructField("bands", ArrayType(LongType()))]
+    more = [StructField("digest", StringType()), StructField("fp", LongType()), StructField("n", LongType()), StructField("far", ArrayType(IntegerType())), StructField("bands", ArrayType(LongType()))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole):
-                digest, fp, n, keys = [], [], [], []
+                digest, fp, n, far, keys = [], [], [], [], []
                 for text in texts_of(batch):
-                    h = shingles(words_of(text), size)
-                    own = np.unique(h)
+                    own = np.unique(shingles(words_of(text), size))
+                    ones = ones_of(own)
                     digest.append(xxhash.xxh3_128_hexdigest(own.tobytes()))
-                    fp.append(of_hashes(h))
+                    fp.append(of_ones(ones, len(own)))
                     n.append(len(own))
+                    far.append(2 * ones - len(own))
                     keys.append(bands(own))
-                found = [pa.array(digest, pa.string()), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(n, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
+                found = [pa.array(digest, pa.string()), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(n, pa.int64()), pa.array(far, pa.list_(pa.int32())), pa.array(keys, pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays([batch.column("rec"), *found], ["rec", *(f.name for f in more)])
 
     return rows.mapInArrow(run, StructType([rows.schema["rec"], *more]))
 
 
+def reach(sizes: Column | np.ndarray, similarity: float) -> Column | np.ndarray:
+    """The largest distance of sets with this share in common, from the sum of their sizes; rounding loses no link."""
+    return sizes * ((1 - similarity) / (1 + similarity) * (1 + 1e-9))
+
+
 def compared(node: np.ndarray, fp: np.ndarray, n: np.ndarray, similarity: float) -> list[tuple[int, int]]:
     """Pairs of one part that are worth verifying: all of few texts, else a spanning forest, closest first."""
     i, j = np.triu_indices(len(node), 1)
@@ -88,7 +103,10 @@ def compared(node: np.ndarray, fp: np.ndarray, n: np.ndarray, similarity: float)
 
 
 def groups(nodes: DataFrame) -> DataFrame:
-    """The nodes (node, fp, n, bands) of each key that several share, with its number of nodes and its first one."""
+    """The nodes (node, fp, n, bands) of each key that several share, with its number of nodes and its first one.
+
+    Band 0 is the component of the fingerprint, the others are those of minimum hashes.
+    """
     rows = nodes.select("node", "fp", "n", F.posexplode("bands").alias("band", "key"))
     shared = rows.groupBy("band", "key").agg(F.count("*").alias("many"), F.min(F.struct("node", "fp", "n")).alias("lead")).where("many > 1")
     return rows.join(shared, ["band", "key"])
@@ -127,7 +145,7 @@ def candidates(met: DataFrame, similarity: float) -> DataFrame:
 
 
 def verified(pairs: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose shingle sets have at least this share in common; texts: node, text."""
+    """The pairs (a, b) whose shingle sets have at least this share in common; texts: node, text, n, far."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -139,9 +157,11 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, similarity: float) -
                     good.append(both >= similarity * (len(p) + len(q) - both))
                 yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    x, y = (texts.select(F.col("node").alias(k), F.col("text").alias(t)) for k, t in (("a", "x"), ("b", "y")))
-    both = pairs.join(x.hint("merge"), "a").join(y.hint("merge"), "b").select("a", "b", "x", "y")
-    return both.mapInArrow(check, "a long, b long")
+    x, y = (texts.select(F.col("node").alias(k), F.col("text").alias(t), F.col("n").alias(f"n{t}"), F.col("far").alias(f"far{t}")) for k, t in (("a", "x"), ("b", "y")))
+    both = pairs.join(x.hint("merge"), "a").join(y.hint("merge"), "b")
+    gap = F.array_max(F.zip_with("farx", "fary", lambda p, q: F.abs(p - q)))  # that of the sizes was looked at when the pair met
+    able = both.where(gap <= reach(F.col("nx") + F.col("ny"), similarity))
+    return able.select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
 
 
 def tiles(met: DataFrame, roots: DataFrame) -> DataFrame:
@@ -170,15 +190,18 @@ def tiles(met: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def exhausted(dealt: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
-    """Verified links (a, b) that join the trees in each tile; texts: node, text, fp, n, bands."""
+    """Verified links (a, b) that join the trees in each tile; texts: node, text, fp, n, far, bands."""
 
     def joined(t: pa.Table) -> list[tuple[int, int]]:
         node, label, side, fp, n = (t.column(c).to_numpy() for c in ("node", "label", "side", "fp", "n"))
         band = t.column("band")[0].as_py()
-        keys = t.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
+        keys = t.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, BANDS + 1)
+        far = t.column("far").combine_chunks().flatten().to_numpy().reshape(-1, 64)
         i, j = np.triu_indices(len(node), 1)
         able = (label[i] != label[j]) & ((side[i] != side[j]) | (side[i] == 0)) & (np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]))
         i, j = i[able], j[able]
+        able = np.abs(far[i] - far[j]).max(1, initial=0) <= reach(n[i] + n[j], similarity)
+        i, j = i[able], j[able]
         for earlier in range(band):  # met in an earlier band
             new = keys[i, earlier] != keys[j, earlier]
             i, j = i[new], j[new]
@@ -223,17 +246,30 @@ def exhausted(dealt: DataFrame, texts: DataFrame, size: int, similarity: float)
     return rows.mapInArrow(link, "a long, b long").distinct()
 
 
-def grouped(df: DataFrame, text_col: str, size: int, similarity: float) -> tuple[DataFrame, DataFrame]:
-    """Written tables of rows (rec, row) and of labels (at, label); rows with one label are linked by similar texts."""
+def with_components(nodes: DataFrame, near_pairs: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The nodes with the component of their fingerprint as the first of their bands; an empty set has none."""
+    roots = stars(near_pairs(nodes.where("n > 0").select("fp").distinct())).select(F.col("node").alias("of"), "root")
+    first = F.array(F.coalesce("root", "fp"))
+    bands = F.when(F.col("n") > 0, F.concat(first, "bands")).otherwise(F.col("bands"))
+    return nodes.join(roots.hint("merge"), F.col("fp") == F.col("of"), "left").select("node", "fp", "n", bands.alias("bands"))
+
+
+def grouped(df: DataFrame, text_col: str, size: int, similarity: float, near_pairs: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """Written tables of rows (rec, row) and of labels (at, label); rows with one label are linked by similar texts.
+
+    ``near_pairs`` links distinct fingerprints (fp) by pairs (a, b) that keep each component together.
+    """
     found = materialize(sketches(df, text_col, size).withColumn("row", F.monotonically_increasing_id()), "sketches")
     nodes = found.groupBy("digest").agg(F.min("row").alias("node"))
     own = found.select("row", "fp", "n", "bands")
     nodes = materialize(own.join(nodes.select("node").hint("merge"), F.col("row") == F.col("node")).select("node", "fp", "n", "bands"), "nodes")
+    nodes = materialize(with_components(nodes, near_pairs), "nodes")
     met = materialize(groups(nodes), "groups")
     pairs = materialize(candidates(met, similarity), "pairs")
     asked = pairs.select(F.explode(F.array("a", "b")).alias("at")).unionByName(met.where(F.col("many") > FEW).select(F.col("node").alias("at"))).distinct()
-    texts = found.select(F.col("row").alias("node"), F.col("rec")[text_col].alias("text"), "fp", "n", "bands")
-    texts = materialize(texts.join(asked.hint("merge"), F.col("node") == F.col("at"), "left_semi"), "asked")
+    asked = nodes.join(asked.hint("merge"), F.col("node") == F.col("at"), "left_semi")
+    texts = found.select(F.col("row").alias("node"), F.col("rec")[text_col].alias("text"), "far")
+    texts = materialize(texts.join(asked.hint("merge"), "node"), "asked")
     roots = stars(verified(pairs, texts, size, similarity))
     more = materialize(exhausted(tiles(met, roots), texts, size, similarity), "more")
     if not more.isEmpty():

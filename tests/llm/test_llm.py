@@ -14,8 +14,9 @@ from duck import assert_same
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from heddle.llm import chat_format, decontaminate, language_id, lm_scoring, mixing, quality, registry, secrets, simhash, surrogates, token_counts
+from heddle.llm import chat_format, decontaminate, language_id, lm_scoring, mixing, quality, registry, secrets, similar, simhash, surrogates, token_counts
 from heddle.llm.arrow import words_of
+from heddle.llm.shingles import of_hashes, ones_of, shingles
 
 SF = "/root/testdata/sf0.001"
 LONG = "word of text, " * 20_000
@@ -495,6 +496,40 @@ def test_similar_texts_among_pages_of_one_template(spark):
     assert sorted(r.doc_id for r in got.collect()) == want == list(range(200))
 
 
+def test_similar_texts_by_fingerprint_only(spark):
+    rng, rows = np.random.default_rng(4), []
+    for k in range(3):  # a long text, and a copy without a minimum hash of each band
+        own = [f"w{x}" for x in rng.integers(0, 1 << 40, 60_000)]
+        h = shingles(words_of(" ".join(own)), 5)
+        least = [int((h * similar._TIMES[b] + similar._PLUS[b]).argmin()) for b in range(0, similar.BANDS * similar.DEPTH, similar.DEPTH)]
+        copy = [f"x{i}" if i in least else w for i, w in enumerate(own)]
+        g = shingles(words_of(" ".join(copy)), 5)
+        assert not set(similar.bands(np.unique(h))) & set(similar.bands(np.unique(g)))
+        assert (of_hashes(h) ^ of_hashes(g)).bit_count() <= simhash.RADIUS
+        rows += [(2 * k, " ".join(own)), (2 * k + 1, " ".join(copy))]
+    got = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r.doc_id for r in got.collect()) == [0, 2, 4]
+
+
+def test_similar_texts_table_of_distances(spark):
+    rng = np.random.default_rng(6)
+    far = lambda h: 2 * ones_of(h) - len(h)
+    gap = lambda p, q: max(np.abs(far(p) - far(q)).max(), abs(len(p) - len(q)))
+    hashes = lambda n: rng.integers(0, 1 << 64, n, dtype=np.uint64)
+    for n in (5, 10, 100, 1000, 3000):  # similarity of 0.8 to the shingle, all the difference on one bit
+        own = hashes(n)
+        own[: n // 5] |= np.uint64(8)
+        rest = own[n // 5 :]
+        other = np.concatenate([own[n // 9 :], hashes(n // 9) & ~np.uint64(8)])
+        for p, q in ((own, rest), (own, other)):
+            both = len(np.intersect1d(p, q))
+            assert both >= 0.8 * (len(p) + len(q) - both) and gap(p, q) <= similar.reach(len(p) + len(q), 0.8)
+    assert all(gap(hashes(100), hashes(100)) > similar.reach(200, 0.8) for _ in range(50))
+    pairs = spark.createDataFrame([(0, 1), (0, 2)], "a long, b long")
+    texts = spark.createDataFrame([(k, "a b c d e f", 2, [x] * 64) for k, x in enumerate((1, 1, 2))], "node long, text string, n long, far array<int>")
+    assert [tuple(r) for r in similar.verified(pairs, texts, 5, 0.8).collect()] == [(0, 1)]
+
+
 def test_pipeline(spark):
     docs = registry.table(spark, SF, "documents").cache()
     names = docs.columns
