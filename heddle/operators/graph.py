@@ -214,6 +214,6 @@ def force_flags(graph: Graph, updates: DataFrame, tags: DataFrame, most: int = 1
     old, new = (ends.select(F.col("oid").alias(k), F.col("peeled").alias(c)) for k, c in (("old", "a"), ("new", "d")))
     met = materialize(asked.join(old, "old", "left").join(new, "new", "left").select("refname", "old", "new", "a", "d"), "moves")
     shown = graph.is_ancestor(met.where("a is not null and d is not null").select("a", "d")).where("is_ancestor").select("a", "d", F.lit(True).alias("shown"))
-    known = graph.places.select(F.col("id").alias("a"), F.lit(True).alias("known"))
+    known = graph.places.select(F.col("id").alias("a"), F.lit(True).alias("known")).hint("merge")
     moved = met.join(shown, ["a", "d"], "left").join(known, "a", "left").select("refname", "old", "new", (~(F.coalesce("shown", F.lit(False)) & F.coalesce("known", F.lit(False)))).alias("force"))
     return moved.unionByName(updates.where("old is null or new is null").withColumn("force", F.lit(False)).select("refname", "old", "new", "force"))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from heddle.functions.scalars import like_dot_git, like_dot_gitmodules
 
+from heddle.plans.climb import contracted
 from heddle.plans.durable import materialize
 
 
@@ -31,15 +34,23 @@ def current_repositories(log: DataFrame) -> DataFrame:
 def peel(starts: DataFrame, tags: DataFrame, most: int = 64) -> DataFrame:
     """(oid, peeled): what each start names behind its chain of tags; null if a chain is longer than ``most``.
 
-    ``tags``: tag, target.  Chains double in length each round, so six rounds follow 64 tags.
+    ``tags``: tag, target.  Tags that a task reads with what they name are followed in memory, and only the starts move along
+    what is left.  Starts that still move after two rounds find links twice as long in each further one.
     """
-    hop = tags.select("tag", "target", F.lit(1).alias("n"))
-    for _ in range(max(1, (most - 1).bit_length())):
-        far = hop.select(F.col("tag").alias("t2"), F.col("target").alias("target2"), F.col("n").alias("n2"))
-        hop = hop.join(far, F.col("target") == F.col("t2"), "left").select("tag", F.coalesce("target2", "target").alias("target"), (F.col("n") + F.coalesce("n2", F.lit(0))).alias("n"))
-        hop = materialize(hop, "hops")
-    still = tags.select(F.col("tag").alias("t3"))
-    ended = hop.join(still, F.col("target") == F.col("t3"), "left").select("tag", F.when(F.col("t3").isNull() & (F.col("n") <= most), F.col("target")).alias("end"))
+    hop = contracted(tags.select(F.col("tag").alias("id"), F.col("target").alias("to")))
+    front = starts.select("oid", F.col("oid").alias("at"), F.lit(0).cast("long").alias("n")).distinct()
+    moves = []
+    while True:
+        step = front.join(hop.hint("merge"), F.col("at") == F.col("id")).select("oid", F.col("to").alias("at"), (front["n"] + hop["n"]).alias("n"))
+        moves.append(materialize(step, "peeling"))
+        front = moves[-1].where(F.col("n") <= most)
+        if front.isEmpty():
+            break
+        if len(moves) > 1:
+            far = hop.select(F.col("id").alias("id2"), F.col("to").alias("to2"), F.col("n").alias("n2")).hint("merge")
+            hop = materialize(hop.join(far, F.col("to") == F.col("id2"), "left").select("id", F.coalesce("to2", "to").alias("to"), (F.col("n") + F.coalesce("n2", F.lit(0))).alias("n")), "hops")
+    ended = reduce(DataFrame.unionByName, moves).groupBy(F.col("oid").alias("tag")).agg(F.max("n").alias("n"), F.max_by("at", "n").alias("at"))
+    ended = ended.select("tag", F.when(F.col("n") <= most, F.col("at")).alias("end")).hint("merge")
     return starts.join(ended, F.col("oid") == F.col("tag"), "left").select("oid", F.when(F.col("tag").isNull(), F.col("oid")).otherwise(F.col("end")).alias("peeled"))
 
 

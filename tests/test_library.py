@@ -69,6 +69,21 @@ def test_push_order(spark):
         order([("p", 1, 0, [2]), ("p", 2, 1, [1])])
 
 
+def test_peeling_broadcasts_nothing(spark, monkeypatch):
+    from heddle.operators import lifecycle
+
+    plans, kept = [], lifecycle.materialize
+    monkeypatch.setattr(lifecycle, "materialize", lambda df, tag: plans.append(df._jdf.queryExecution().executedPlan().toString()) or kept(df, tag))
+    # a chain of 40 tags whose links lie in other partitions, a ring, and a commit
+    tags = spark.createDataFrame([(k, k - 1) for k in range(1, 41)] + [(50, 51), (51, 50)], "tag long, target long").repartition(12, "tag")
+    starts = spark.createDataFrame([(k,) for k in (0, 1, 15, 16, 40, 50, 99)], "oid long")
+    for most in (15, 40):
+        found = lifecycle.peel(starts, tags, most)
+        plans.append(found._jdf.queryExecution().executedPlan().toString())
+        assert {r.oid: r.peeled for r in found.collect()} == {0: 0, 1: 0, 15: 0, 16: 0 if most > 15 else None, 40: 0 if most > 15 else None, 50: None, 99: 99}
+    assert plans and not any("Broadcast" in p for p in plans)
+
+
 def test_deepen(spark):
     edges = spark.createDataFrame([(k, k - 1, 0) for k in range(2, 12)], "child long, parent long, ord int")
     want = spark.createDataFrame([(11,)], "id long")
