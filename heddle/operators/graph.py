@@ -14,30 +14,34 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from heddle.operators.lifecycle import peel
+from heddle.plans.climb import climb
 from heddle.plans.durable import materialize, release
 
 
-def chains(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, chain, pos) for every node; a chain is named after its oldest commit."""
-    onward = edges.where("ord = 0").groupBy("parent").agg(F.min("child").alias("child"))
-    now = nodes.join(onward.select(F.col("child").alias("id"), "parent"), "id", "left")
-    now = materialize(now.select("id", F.coalesce("parent", "id").alias("to"), F.col("parent").isNotNull().cast("long").alias("pos")), "chains")
-    sum_before = None
-    while True:
-        far = now.select(F.col("id").alias("k"), F.col("to").alias("to2"), F.col("pos").alias("pos2"))
-        after = materialize(now.join(far, F.col("to") == F.col("k")).select("id", F.col("to2").alias("to"), (F.col("pos") + F.col("pos2")).alias("pos")), "chains")
-        release(now)
-        now, sum_now = after, after.agg(F.sum("pos")).first()[0]
-        if sum_now == sum_before:
-            return now.select("id", F.col("to").alias("chain"), "pos")
-        sum_before = sum_now
+def forks(edges: DataFrame) -> DataFrame:
+    """(parent, least) of each commit that is the first parent of several: its smallest such child."""
+    found = edges.where("ord = 0").groupBy("parent").agg(F.min("child").alias("least"), F.max("child").alias("most")).where("least < most")
+    return materialize(found.select("parent", "least"), "forks")
+
+
+def told(edges: DataFrame, split: DataFrame, few: int = 1 << 17) -> DataFrame:
+    """``edges`` with ``onward``: the child continues the parent's chain.  Few forks go to where the edges lie; else edges move to the forks and back to their blocks."""
+    onward = ((F.col("ord") == 0) & (F.col("least").isNull() | (F.col("least") == F.col("child")))).alias("onward")
+    if split.limit(few + 1).count() <= few:
+        return edges.join(F.broadcast(split), "parent", "left").select("child", "parent", "ord", onward)
+    blocks = edges.withColumn("block", F.shiftright(F.monotonically_increasing_id(), 16))
+    met = blocks.join(split.hint("merge"), "parent", "left").select("child", "parent", "ord", onward, "block")
+    return met.repartition("block").sortWithinPartitions("block").select("child", "parent", "ord", "onward")
 
 
 def crossings(edges: DataFrame, places: DataFrame) -> DataFrame:
-    """Edges that leave a chain: child, its chain and place, and the parent's."""
-    child = places.select(F.col("id").alias("child"), F.col("chain").alias("c_chain"), F.col("pos").alias("c_pos"))
-    parent = places.select(F.col("id").alias("parent"), F.col("chain").alias("p_chain"), F.col("pos").alias("p_pos"))
-    return edges.join(child, "child").join(parent, "parent").where("not (c_chain = p_chain and c_pos = p_pos + 1)")
+    """Edges (child, parent, ord) that leave a chain: child, its chain and place, and the parent's."""
+    edge = F.struct("child", "parent", "ord").alias("edge")
+    ends = edges.select(edge, F.explode(F.array(F.struct(F.col("child").alias("id"), F.lit(True).alias("is_child")), F.struct(F.col("parent").alias("id"), F.lit(False).alias("is_child")))).alias("end"))
+    met = ends.select("edge", "end.*").join(places, "id")
+    of = lambda col, child: F.max(F.when(F.col("is_child") == child, F.col(col)))
+    both = met.groupBy("edge").agg(of("chain", True).alias("c_chain"), of("pos", True).alias("c_pos"), of("chain", False).alias("p_chain"), of("pos", False).alias("p_pos"))
+    return both.where("not (c_chain = p_chain and c_pos = p_pos + 1)").select("edge.*", "c_chain", "c_pos", "p_chain", "p_pos")
 
 
 class Graph:
@@ -47,9 +51,12 @@ class Graph:
         """``shallow``: commits (id) that are taken to have no parents."""
         if shallow is not None:
             edges = edges.join(shallow.select(F.col("id").alias("child")), "child", "left_anti")
-        self.edges = edges
-        self.places = chains(nodes, edges)
-        self.cross = materialize(crossings(edges, self.places), "crossings")
+        edges = materialize(edges.select("child", "parent", "ord"), "edges")
+        edges = told(edges, forks(edges))
+        places = climb(nodes, edges.where("onward").select(F.col("child").alias("id"), F.col("parent").alias("to")), "chains")
+        # one row for each commit: joins with it are never broadcast
+        self.places = places.select("id", F.col("to").alias("chain"), "pos").hint("merge")
+        self.cross = materialize(crossings(edges.where("not onward"), self.places), "crossings")
 
     def reach(self, seeds: DataFrame) -> DataFrame:
         """(seed, chain, pos): all commits up to pos on the chain are reachable; seeds: (seed, id)."""
@@ -151,18 +158,8 @@ class Graph:
 
 
 def history(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, depth): first-parent depth of every commit by pointer doubling."""
-    now = nodes.join(edges.where("ord = 0").select(F.col("child").alias("id"), "parent"), "id", "left")
-    now = materialize(now.select("id", F.coalesce("parent", "id").alias("to"), F.col("parent").isNotNull().cast("long").alias("depth")), "history")
-    sum_before = None
-    while True:
-        far = now.select(F.col("id").alias("k"), F.col("to").alias("to2"), F.col("depth").alias("d2"))
-        after = materialize(now.join(far, F.col("to") == F.col("k")).select("id", F.col("to2").alias("to"), (F.col("depth") + F.col("d2")).alias("depth")), "history")
-        release(now)
-        now, sum_now = after, after.agg(F.sum("depth")).first()[0]
-        if sum_now == sum_before:
-            return now.select("id", "depth")
-        sum_before = sum_now
+    """(id, depth): first-parent depth of every commit."""
+    return climb(nodes, edges.where("ord = 0").select(F.col("child").alias("id"), F.col("parent").alias("to")), "history").select("id", F.col("pos").alias("depth"))
 
 
 def pushed_walk(pushed: DataFrame, edges: DataFrame, stored: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -214,6 +211,6 @@ def force_flags(graph: Graph, updates: DataFrame, tags: DataFrame, most: int = 1
     old, new = (ends.select(F.col("oid").alias(k), F.col("peeled").alias(c)) for k, c in (("old", "a"), ("new", "d")))
     met = materialize(asked.join(old, "old", "left").join(new, "new", "left").select("refname", "old", "new", "a", "d"), "moves")
     shown = graph.is_ancestor(met.where("a is not null and d is not null").select("a", "d")).where("is_ancestor").select("a", "d", F.lit(True).alias("shown"))
-    known = graph.places.select(F.col("id").alias("a"), F.lit(True).alias("known")).hint("merge")
+    known = graph.places.select(F.col("id").alias("a"), F.lit(True).alias("known"))
     moved = met.join(shown, ["a", "d"], "left").join(known, "a", "left").select("refname", "old", "new", (~(F.coalesce("shown", F.lit(False)) & F.coalesce("known", F.lit(False)))).alias("force"))
     return moved.unionByName(updates.where("old is null or new is null").withColumn("force", F.lit(False)).select("refname", "old", "new", "force"))

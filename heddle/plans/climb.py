@@ -62,7 +62,7 @@ def climb(nodes: DataFrame, links: DataFrame, tag: str) -> DataFrame:
 
     Ends that differ are doubled in rounds that grow with the logarithm of the links left between them.
     """
-    base = nodes.select("id").join(contracted(links).hint("merge"), "id", "left")
+    base = nodes.select("id").join(contracted(links).dropDuplicates(["id"]).hint("merge"), "id", "left")  # the same edge may be given twice
     base = materialize(base.select("id", F.coalesce("to", "id").alias("to"), F.coalesce("n", F.lit(0).cast("long")).alias("pos")), tag)
     now = materialize(base.join(base.select(F.col("to").alias("k")).distinct().hint("merge"), F.col("id") == F.col("k")).select("id", "to", "pos"), tag)
     sum_before = now.agg(F.sum("pos")).first()[0]

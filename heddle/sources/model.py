@@ -20,15 +20,13 @@ def commits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """child, parent, ord.  The second parent of a merge is found by one sorted pass over each branch."""
+    """child, parent, ord.  Both parents, the commit before and a merge's second one, are found by one sorted pass over each branch."""
     c = commits(spark, sf_dir)
-    by_time = Window.partitionBy("branch").orderBy("ts", "id")
-    first = c.select(F.col("id").alias("child"), F.lag("id").over(by_time).alias("parent"), F.lit(0).alias("ord")).where("parent is not null")
     asks = c.where("kind = 'purchase' and id % 10 = 0").select((F.col("branch") - 1).alias("branch"), "ts", F.lit(0).alias("rank"), F.col("id").alias("ask"), F.lit(None).cast("long").alias("id"))
     rows = asks.unionByName(c.select("branch", "ts", F.lit(1).alias("rank"), F.lit(None).cast("long").alias("ask"), "id"))
-    newest = F.last("id", ignorenulls=True).over(Window.partitionBy("branch").orderBy("ts", "rank"))
-    second = rows.select(F.col("ask").alias("child"), newest.alias("parent"), F.lit(1).alias("ord")).where("child is not null and parent is not null")
-    return first.unionByName(second)
+    newest = F.last("id", ignorenulls=True).over(Window.partitionBy("branch").orderBy("ts", "rank", "id").rowsBetween(Window.unboundedPreceding, -1))
+    found = rows.select(F.coalesce("ask", "id").alias("child"), newest.alias("parent"), F.when(F.col("ask").isNull(), 0).otherwise(1).alias("ord"))
+    return found.where("child is not null and parent is not null")
 
 
 def refs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -45,6 +45,44 @@ def test_ancestry_and_generations(spark, criss_cross):
     assert {r.id: r.generation for r in criss_cross.generations().collect()} == {1: 1, 2: 2, 3: 2, 4: 3, 5: 3, 6: 4, 7: 4, 9: 1}
 
 
+def test_layout_writes_each_commit_a_few_times(spark, monkeypatch):
+    from heddle.plans import climb
+
+    rows, kept = [], graph.materialize
+
+    def counted(df, tag):
+        out = kept(df, tag)
+        rows.append(out.count())
+        return out
+    monkeypatch.setattr(graph, "materialize", counted)
+    monkeypatch.setattr(climb, "materialize", counted)
+    n = 4000
+    edges = spark.range(1, n).selectExpr("id as child", "id - 1 as parent", "0 as ord")
+    places = graph.Graph(spark.range(n), edges).places
+    assert places.where("chain = 0 and pos = id").count() == n
+    assert sum(rows) <= 4 * n
+
+
+@pytest.mark.parametrize("few", [1 << 17, 0])
+def test_layout_of_scattered_edges(spark, monkeypatch, few):
+    import random
+
+    rng, n, reached, rows = random.Random(5), 250, {}, []
+    name = rng.sample(range(10_000), n)
+    for k in range(n):
+        parents = list(dict.fromkeys(p for p in (k - rng.randrange(1, 4), rng.randrange(k) if k and rng.random() < 0.3 else -1) if p >= 0))
+        rows += [(name[k], name[p], o) for o, p in enumerate(parents)]
+        reached[name[k]] = {name[k]}.union(*(reached[name[p]] for p in parents))
+    told = graph.told
+    monkeypatch.setattr(graph, "told", lambda edges, split: told(edges, split, few))
+    edges = spark.createDataFrame(rows + rows[:20], "child long, parent long, ord int").repartition(7)  # some edges are given twice
+    g = graph.Graph(spark.createDataFrame([(k,) for k in name], "id long"), edges)
+    assert g.places.count() == g.places.select("chain", "pos").distinct().count() == n
+    found = g.ancestors(spark.createDataFrame([(k, k) for k in name[-20:]], "seed long, id long")).collect()
+    assert len(found) == sum(len(reached[k]) for k in name[-20:])
+    assert all(r.id in reached[r.seed] for r in found)
+
+
 def test_generations_across_blocks(spark):
     import random
 
