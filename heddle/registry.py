@@ -311,8 +311,9 @@ PAIRS = ", pairs AS (SELECT t.oid AS d, c.id AS a FROM tips t JOIN commits c ON
 
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = model.commits(spark, sf_dir).select(F.col("id").alias("a"), F.explode(F.array("branch", F.col("branch") + 1)).alias("branch"))
-    return c.join(tips(spark, sf_dir), "branch").select("a", F.col("oid").alias("d"))
+    # the tips go to the branches, not each commit to two tips
+    t = tips(spark, sf_dir).select(F.explode(F.array("branch", F.col("branch") - 1)).alias("branch"), F.col("oid").alias("d"))
+    return model.commits(spark, sf_dir).select(F.col("id").alias("a"), "branch").join(t.hint("merge"), "branch").select("a", "d")
 
 
 @query(MODEL + PAIRS + ", seeds AS (SELECT DISTINCT d AS seed, d AS id FROM pairs)" + CLOSURE + "SELECT a, d, r.id IS NOT NULL AS is_ancestor FROM (SELECT DISTINCT a, d FROM pairs) p LEFT JOIN reached r ON r.seed = p.d AND r.id = p.a")

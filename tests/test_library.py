@@ -83,6 +83,10 @@ def test_layout_of_scattered_edges(spark, monkeypatch, few):
     assert all(r.id in reached[r.seed] for r in found)
 
 
+def test_pairs_broadcast_nothing(spark):
+    assert "Broadcast" not in registry.pairs(spark, SF)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_generations_across_blocks(spark):
     import random
 
