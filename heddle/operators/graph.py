@@ -2,8 +2,8 @@
 
 Commits are laid out on chains: a commit continues the chain of its first parent
 if it is that parent's smallest such child, all other edges cross between chains.
-The chain and the place on it are found for all commits by pointer doubling, in rounds
-that grow with the logarithm of the longest chain.  What is reachable from a commit
+The chain and the place on it are found by following links where they lie and
+doubling what is left, in rounds that grow with the logarithm of the longest chain.  What is reachable from a commit
 is then one number for each chain, the highest place, and grows along cross
 edges only; rounds follow the number of crossings, not the depth.
 """
@@ -54,9 +54,9 @@ class Graph:
         edges = materialize(edges.select("child", "parent", "ord"), "edges")
         edges = told(edges, forks(edges))
         places = climb(nodes, edges.where("onward").select(F.col("child").alias("id"), F.col("parent").alias("to")), "chains")
-        # one row for each commit: joins with it are never broadcast
+        # as large as the history: joins with them are never broadcast
         self.places = places.select("id", F.col("to").alias("chain"), "pos").hint("merge")
-        self.cross = materialize(crossings(edges.where("not onward"), self.places), "crossings")
+        self.cross = materialize(crossings(edges.where("not onward"), self.places), "crossings").hint("merge")
 
     def reach(self, seeds: DataFrame) -> DataFrame:
         """(seed, chain, pos): all commits up to pos on the chain are reachable; seeds: (seed, id)."""
